@@ -42,16 +42,13 @@ def label_encode(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def min_max_scale(rows: DataFrame, columns: list[str]) -> DataFrame:
     """``(x - min) / (max - min)``; null where all values are equal."""
-    bounds = rows.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
-    low = {c: bounds.select(f"lo_{c}").scalar() for c in columns}
-    high = {c: bounds.select(f"hi_{c}").scalar() for c in columns}
+    # one struct, so the plan holds a single subquery however many columns there are
+    bounds = rows.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])).scalar()
     return rows.withColumns({
-        f"{c}_scaled": (F.col(c) - low[c]) / F.nullif(high[c] - low[c], F.lit(0)) for c in columns})
+        f"{c}_scaled": (F.col(c) - bounds[f"lo_{c}"]) / F.nullif(bounds[f"hi_{c}"] - bounds[f"lo_{c}"], F.lit(0)) for c in columns})
 
 
 def standard_scale(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Z-scores with the population deviation."""
-    stats = rows.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("avg", F.avg), ("dev", F.stddev_pop))])
-    return rows.withColumns({
-        f"{c}_scaled": (F.col(c) - stats.select(f"avg_{c}").scalar()) / F.nullif(stats.select(f"dev_{c}").scalar(), F.lit(0.0))
-        for c in columns})
+    stats = rows.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("avg", F.avg), ("dev", F.stddev_pop))])).scalar()
+    return rows.withColumns({f"{c}_scaled": (F.col(c) - stats[f"avg_{c}"]) / F.nullif(stats[f"dev_{c}"], F.lit(0.0)) for c in columns})

@@ -1,11 +1,17 @@
-"""Arrays, structs and JSON: trips, connections, messages."""
+"""Arrays, structs and JSON: trips, connections, messages.
+
+Connections and trips stay one row each; their segments are handled inside the row,
+so nothing here shuffles unless a lookup is joined.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stopwise.functions import timecols
+from stopwise.functions import scoring, timecols
+from stopwise.functions.codes import PRIORITY_TEXTS, SUPERSEDES, code_text
+from stopwise.operators.lookup import station_lookup
 
 
 def stay_times(stopovers: Column) -> Column:
@@ -13,6 +19,65 @@ def stay_times(stopovers: Column) -> Column:
     return F.transform(stopovers, lambda s: timecols.stay_minutes(s["arrival"], s["departure"]))
 
 
+# --- paths and trips -------------------------------------------------------------------
+
+
+def path_neighbours(ar_path: Column, dp_path: Column, station: Column) -> dict[str, Column]:
+    """Neighbouring stations and the paths including the station itself; null where there is no path."""
+    return {"last_station": F.try_element_at(ar_path, F.lit(-1)), "next_station": F.try_element_at(dp_path, F.lit(1)),
+            "path_here": F.concat(ar_path, F.array(station)), "path_onwards": F.concat(F.array(station), dp_path)}
+
+
+def stop_position(trip: Column, station: Column, display_name: Column) -> Column:
+    """0-based index of the station in a trip, else of its display name, else -1."""
+    index = lambda name: F.nullif(F.array_position(trip, name), F.lit(0).cast("bigint"))
+    return (F.coalesce(index(station), index(display_name), F.lit(0)) - 1).cast("int")
+
+
+def trip_until(trip: Column, position: Column) -> Column:
+    """Up to and including the stop."""
+    return F.slice(trip, F.lit(1), F.greatest(position + 1, F.lit(0)))
+
+
+def trip_from(trip: Column, position: Column) -> Column:
+    """From the stop on; an unknown stop (-1) gives the last station only."""
+    return F.slice(trip, F.when(position < 0, F.lit(-1)).otherwise(position + 1), F.size(trip))
+
+
+def consecutive_pairs(items: Column) -> Column:
+    """Array of structs (a, b) of neighbouring items."""
+    n = F.greatest(F.size(items) - 1, F.lit(0))
+    return F.zip_with(F.slice(items, F.lit(1), n), F.slice(items, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+# --- raw records -----------------------------------------------------------------------
+
+
+def explode_plan_json(plans: DataFrame, column: str, stop_schema: str) -> DataFrame:
+    """Map id -> stop of a station and hour to one row per stop, with the station in it."""
+    rows = plans.select("station", F.explode(F.from_json(column, f"map<string, {stop_schema}>")).alias("id", "stop"))
+    return rows.withColumn("stop", F.col("stop").withField("station", F.col("station")))
+
+
+def flatten_station_json(df: DataFrame, column: str) -> DataFrame:
+    """Array of station objects to rows; lat and lon come from a two-element list."""
+    schema = "array<struct<name: string, eva: bigint, ds100: string, latlong: array<double>>>"
+    rows = df.select(F.explode(F.from_json(column, schema)).alias("s"))
+    at = lambda i: F.get("s.latlong", F.lit(i))
+    return rows.select("s.name", "s.eva", "s.ds100", at(0).alias("lat"), at(1).alias("lon"))
+
+
+def id_or_alias_match(records: DataFrame, record_id: str, aliases: str, key: Column) -> DataFrame:
+    return records.filter((F.col(record_id) == key) | F.array_contains(aliases, key))
+
+
+def suppress_superseded(messages: DataFrame, key: str, code: str) -> DataFrame:
+    """Drop messages whose code is cancelled by another message of the same key."""
+    table = F.create_map(*[x for k, v in SUPERSEDES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    cancelled = messages.select(key, F.explode(F.try_element_at(table, F.col(code))).alias(code)).distinct()
+    return messages.join(cancelled, [key, code], "left_anti")
+
+
 OBSTACLE_SCHEMA = (
     "id string, type string, summary string, text string, category int, modified string, priority int, "
     "edges array<struct<fromLoc: struct<id: string, name: string>, toLoc: struct<id: string, name: string>, dir: int, "
@@ -21,8 +86,6 @@ OBSTACLE_SCHEMA = (
 
 def explode_edges_events(raw: DataFrame, column: str = "data") -> DataFrame:
     """One row per edge and event of an obstacle record; records without edges give none."""
-    from stopwise.functions.codes import PRIORITY_TEXTS, code_text
-
     o = raw.select(F.from_json(column, OBSTACLE_SCHEMA).alias("o"))
     rows = o.select("o.*").withColumn("e", F.explode("edges")).select("*", F.posexplode("events").alias("event", "v"))
     at = lambda c: F.try_to_timestamp(F.col(c)).cast("timestamp_ntz")
@@ -33,3 +96,123 @@ def explode_edges_events(raw: DataFrame, column: str = "data") -> DataFrame:
         "type", "summary", "text", "category", "modified", "priority",
         code_text(F.col("priority"), PRIORITY_TEXTS).alias("priority_text"),
         F.col("e.icon.title").alias("icon_title"), F.col("e.icon.type").alias("icon_type"))
+
+
+# --- connections -----------------------------------------------------------------------
+
+_PLACE = "struct<id: string, title: string>"
+_EVENT = "struct<scheduledTime: string, time: string, scheduledPlatform: string, platform: string>"
+_STOP = "struct<station: struct<coordinates: struct<lat: double, lng: double>>>"
+CONNECTION_SCHEMA = (
+    f"isRideable boolean, segmentTypes array<string>, tarifSet array<struct<fares: array<struct<price: int>>>>, "
+    f"segments array<struct<type: string, jid: string, segmentStart: {_PLACE}, segmentDestination: {_PLACE}, "
+    f"departure: {_EVENT}, arrival: {_EVENT}, train: struct<name: string, type: string, number: string, admin: string>, "
+    f"stops: array<{_STOP}>, finalDestination: string>>")
+
+
+def _segment(s: Column) -> Column:
+    local = timecols.utc_to_local
+    train = s["train"]
+    operator = F.replace(train["admin"], F.lit("_"), F.lit(""))
+    dp_ct, ar_ct = local(s["departure"]["time"]), local(s["arrival"]["time"])
+    place = lambda i: F.element_at(s["stops"], i)["station"]["coordinates"]
+    gap = timecols.epoch_seconds(ar_ct) - timecols.epoch_seconds(dp_ct)
+    return F.struct(
+        s["segmentStart"]["id"].cast("bigint").alias("dp_eva"), s["segmentStart"]["title"].alias("dp_station_display_name"),
+        place(1)["lat"].alias("dp_lat"), place(1)["lng"].alias("dp_lon"),
+        local(s["departure"]["scheduledTime"]).alias("dp_pt"), dp_ct.alias("dp_ct"),
+        s["departure"]["scheduledPlatform"].alias("dp_pp"), s["departure"]["platform"].alias("dp_cp"),
+        s["segmentDestination"]["id"].cast("bigint").alias("ar_eva"), s["segmentDestination"]["title"].alias("ar_station_display_name"),
+        place(-1)["lat"].alias("ar_lat"), place(-1)["lng"].alias("ar_lon"),
+        local(s["arrival"]["scheduledTime"]).alias("ar_pt"), ar_ct.alias("ar_ct"),
+        s["arrival"]["scheduledPlatform"].alias("ar_pp"), s["arrival"]["platform"].alias("ar_cp"),
+        s["jid"].alias("jid"), train["name"].alias("train_name"), train["type"].alias("c"), train["number"].alias("n"), operator.alias("o"),
+        F.coalesce(s["finalDestination"], s["segmentDestination"]["title"]).alias("train_destination"),
+        timecols.duration_text(gap).alias("duration"))
+
+
+def with_transfer_times(segments: Column) -> Column:
+    """Adds ``transfer_time`` to each segment: minutes to the next departure, negative if that leaves earlier."""
+    following = F.concat(F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0))), F.array(F.lit(None)))
+    gap = lambda s, n: timecols.epoch_seconds(n["dp_ct"]) - timecols.epoch_seconds(s["ar_ct"])
+    minutes = lambda s, n: (F.sign(gap(s, n)) * F.floor(F.abs(gap(s, n)) / 60)).cast("int")
+    return F.zip_with(segments, following, lambda s, n: s.withField("transfer_time", minutes(s, n)))
+
+
+def parse_connections(raw: DataFrame, column: str = "route", rideable_only: bool = True) -> DataFrame:
+    """Route records of a planner (JSON text) to a summary and an array of train segments.
+
+    A leading walk is dropped. A later walk gives its minutes to the segment before
+    it and does not count as a transfer.
+    """
+    r = raw.withColumn("_r", F.from_json(column, CONNECTION_SCHEMA))
+    all_segments = F.col("_r.segments")
+    leading = F.get(all_segments, F.lit(0))["type"] == "WALK"
+    r = r.withColumn("_s", F.when(leading, F.slice(all_segments, F.lit(2), F.size(all_segments))).otherwise(all_segments))
+    r = r.filter(F.size("_s") > 0)
+    local = timecols.utc_to_local
+    is_walk = lambda s: s["type"] == "WALK"
+    # per position the segment and the one after it, then only trains are kept
+    n = F.size("_s")
+    following = F.concat(F.slice("_s", F.lit(2), n), F.array(F.lit(None)))
+    walk_minutes = lambda s: F.floor(timecols.seconds_of_gap(local(s["arrival"]["time"]), local(s["departure"]["time"])) / 60).cast("int")
+    paired = F.zip_with("_s", following, lambda s, f: F.struct(
+        s.alias("s"), F.when(F.coalesce(is_walk(f), F.lit(False)), walk_minutes(f)).otherwise(F.lit(0)).alias("walk")))
+    trains = F.transform(F.filter(paired, lambda p: ~is_walk(p["s"])), lambda p: _segment(p["s"]).withField("walk", p["walk"]))
+    first, last = F.element_at("_s", 1), F.element_at("_s", -1)
+    dp_ct, ar_ct = local(first["departure"]["time"]), local(last["arrival"]["time"])
+    walks = F.size(F.filter("_s", is_walk))
+    price = F.get(F.get("_r.tarifSet", F.lit(0))["fares"], F.lit(0))["price"]
+    summary = F.struct(
+        first["segmentStart"]["id"].cast("bigint").alias("dp_eva"), first["segmentStart"]["title"].alias("dp_station_display_name"),
+        local(first["departure"]["scheduledTime"]).alias("dp_pt"), dp_ct.alias("dp_ct"),
+        last["segmentDestination"]["id"].cast("bigint").alias("ar_eva"), last["segmentDestination"]["title"].alias("ar_station_display_name"),
+        local(last["arrival"]["scheduledTime"]).alias("ar_pt"), ar_ct.alias("ar_ct"),
+        (n - 1 - walks).alias("transfers"), F.array_sort(F.array_distinct("_r.segmentTypes")).alias("train_categories"),
+        timecols.duration_text(timecols.epoch_seconds(ar_ct) - timecols.epoch_seconds(dp_ct)).alias("duration"),
+        F.coalesce(price, F.lit(-1)).alias("price"), F.col("_r.isRideable").alias("is_rideable"))
+    parsed = r.select(*[c for c in raw.columns if c != column], summary.alias("summary"), with_transfer_times(trains).alias("segments"))
+    return parsed.filter("summary.is_rideable") if rideable_only else parsed
+
+
+def connection_segments(connections: DataFrame, stations: DataFrame, key: str) -> DataFrame:
+    """One row per segment, with station names as valid at departure ('' if unknown)."""
+    rows = connections.select(key, F.posexplode("segments").alias("position", "s")).select(key, "position", "s.*")
+    for end in ("dp", "ar"):
+        named = stations.select(F.col("eva").alias(f"{end}_eva"), F.col("name").alias(f"{end}_station"), "valid_from", "valid_to")
+        rows = station_lookup(rows, named, f"{end}_eva", "dp_pt", [f"{end}_station"])
+        rows = rows.fillna("", subset=[f"{end}_station"])
+    return rows
+
+
+def times_as_text(connections: DataFrame) -> DataFrame:
+    """ISO texts in place of the timestamps of summary and segments."""
+    columns = ("dp_pt", "ar_pt", "dp_ct", "ar_ct")
+
+    def texts(struct: Column) -> Column:
+        for name in columns:
+            struct = struct.withField(name, timecols.iso_text(struct[name]))
+        return struct
+
+    return connections.withColumns({"summary": texts(F.col("summary")), "segments": F.transform("segments", texts)})
+
+
+def sort_connections(connections: DataFrame, by: str, key: str, ascending: bool = True) -> DataFrame:
+    column = F.col(f"summary.{by}")
+    return connections.orderBy(column.asc() if ascending else column.desc(), key)
+
+
+def score_connections(connections: DataFrame, ar: str, dp: str) -> DataFrame:
+    """Transfer and journey scores.
+
+    ``ar`` and ``dp`` hold one probability array per segment. Segment i is scored with
+    its own arrival and the next segment's departure.
+    """
+    n = F.greatest(F.size("segments") - 1, F.lit(0))
+    position = F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
+    scores = F.transform(position, lambda i: scoring.connection_score(
+        F.get(ar, i), F.get(dp, i + 1), F.get("segments", i)["transfer_time"]))
+    scored = connections.withColumn("_scores", scores)
+    return scored.withColumns({
+        "score": scoring.journey_score(F.col("_scores")), "segment_scores": F.transform("_scores", scoring.percent),
+        "ar_delay": F.transform(ar, lambda p: F.get(p, F.lit(0))), "dp_delay": F.transform(dp, lambda p: 1 - F.get(p, F.lit(1)))}).drop("_scores")

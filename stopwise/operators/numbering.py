@@ -70,21 +70,34 @@ def sample_key(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def exact_sample(rows: DataFrame, key: str, size: Column | int, seed: int = 0) -> DataFrame:
-    """Exactly ``size`` rows with the smallest hash of a unique key (all rows if there are fewer).
+def exact_samples(rows: DataFrame, key: str, sizes: DataFrame, seed: int = 0) -> DataFrame:
+    """Exact samples of several sizes; ``sizes`` is a short table of (sample, size).
 
-    Counts per hash bucket find the bucket in which the sample ends; only the rows
-    of that one bucket are ordered.
+    Sample s is the ``size`` rows with the smallest hash of the unique ``key`` (all
+    rows if there are fewer). Counts per hash bucket tell in which bucket each
+    sample ends; only the rows of those buckets are ordered.
     """
-    size = F.lit(size) if isinstance(size, int) else size
     hashed = rows.withColumn("_h", sample_key(F.col(key), seed))
     hashed = hashed.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
+    wanted = sizes.agg(F.collect_list(F.struct("sample", "size"))).scalar()  # the short table
     up_to = W.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)  # at most 65 536 rows
     counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    ends = counts.select("_b", "_n", F.sum("_n").over(up_to).alias("_end"), size.alias("_size"))
-    joined = hashed.join(F.broadcast(ends), "_b")
-    whole = joined.filter("_end <= _size")
-    edge = joined.filter("_end > _size and _end - _n < _size")
-    rank = F.row_number().over(W.partitionBy("_b").orderBy("_h", key))
-    part = edge.withColumn("_r", rank).filter("_r <= _size - (_end - _n)").drop("_r")
-    return whole.unionByName(part).select(*rows.columns)
+    ends = counts.select("_b", "_n", F.sum("_n").over(up_to).alias("_end"), F.lead("_b").over(W.orderBy("_b")).alias("_next"))
+    ends = ends.withColumn("_w", wanted)
+    ends_here = lambda s: (s["size"] > F.col("_end") - F.col("_n")) & ((s["size"] <= F.col("_end")) | F.col("_next").isNull())
+    edges = ends.withColumn("_s", F.explode(F.filter("_w", ends_here))).select(
+        F.col("_s.sample").alias("sample"), F.col("_b").alias("edge"), (F.col("_s.size") - F.col("_end") + F.col("_n")).alias("left"))
+    edge_list = edges.agg(F.collect_list(F.struct("sample", "edge", "left"))).scalar()
+    taken = hashed.withColumn("_w", edge_list).withColumn("_e", F.explode(F.filter("_w", lambda e: e["edge"] >= F.col("_b"))))
+    taken = taken.withColumn("sample", F.col("_e.sample"))
+    whole = taken.filter("_e.edge > _b")
+    rank = F.row_number().over(W.partitionBy("sample", "_b").orderBy("_h", key))
+    part = taken.filter("_e.edge = _b").withColumn("_r", rank).filter("_r <= _e.left").drop("_r")
+    return whole.unionByName(part).select(*rows.columns, "sample")
+
+
+def exact_sample(rows: DataFrame, key: str, size: Column | int, seed: int = 0) -> DataFrame:
+    """One exact sample of ``size`` rows."""
+    size = F.lit(size) if isinstance(size, int) else size
+    sizes = rows.sparkSession.range(1).select(F.lit("one").alias("sample"), size.alias("size"))
+    return exact_samples(rows, key, sizes, seed).drop("sample")

@@ -191,9 +191,9 @@ def _(t):
 
 
 @query("radius_mean", "WITH " + NEWEST + """,
-x AS (SELECT hash_id, ar_delay, lat, lon, epoch(ar_ct) AS at FROM delayed JOIN newest ON name = station WHERE lat IS NOT NULL AND ar_ct IS NOT NULL),
-b AS (SELECT min(lat) AS a0, max(lat) AS a1, min(lon) AS o0, max(lon) AS o1, min(at) AS t0, max(at) AS t1 FROM x),
-y AS (SELECT hash_id, ar_delay, (lat - a0) / (a1 - a0) AS p, (lon - o0) / (o1 - o0) AS q, (at - t0) / (t1 - t0) AS r FROM x, b)
+x AS (SELECT hash_id, ar_delay, lat, lon, epoch(ar_ct) AS moment FROM delayed JOIN newest ON name = station WHERE lat IS NOT NULL AND ar_ct IS NOT NULL),
+b AS (SELECT min(lat) AS a0, max(lat) AS a1, min(lon) AS o0, max(lon) AS o1, min(moment) AS t0, max(moment) AS t1 FROM x),
+y AS (SELECT hash_id, ar_delay, (lat - a0) / (a1 - a0) AS p, (lon - o0) / (o1 - o0) AS q, (moment - t0) / (t1 - t0) AS r FROM x, b)
 SELECT w.hash_id, round(avg(k.ar_delay), 6) AS radius_mean FROM (SELECT * FROM y WHERE hash_id % 5 = 0) w LEFT JOIN (SELECT * FROM y WHERE hash_id % 5 <> 0) k
  ON (w.p - k.p) * (w.p - k.p) + (w.q - k.q) * (w.q - k.q) + (w.r - k.r) * (w.r - k.r) <= 0.02 * 0.02 GROUP BY w.hash_id""", views="delayed stations")
 def _(t):

@@ -52,10 +52,10 @@ SELECT 'S' || CAST(s_suppkey AS {S}) AS name, CAST(8000000 + s_suppkey AS BIGINT
   'D' || CAST(s_suppkey AS {S}) || CASE WHEN version = 1 THEN 'X' ELSE '' END AS ds100,
   CASE WHEN s_suppkey % 41 <> 40 THEN CAST(47 + s_suppkey % 37 * 0.21 AS DOUBLE) + version * 0.001 END AS lat,
   CASE WHEN s_suppkey % 41 <> 40 THEN CAST(6 + s_suppkey % 53 * 0.17 AS DOUBLE) + version * 0.001 END AS lon,
-  CASE WHEN version = 1 THEN TIMESTAMP '2024-01-15 00:00:00'
-       WHEN s_suppkey % 3 = 2 THEN TIMESTAMP '2024-01-05 00:00:00' END AS valid_from,
-  CASE WHEN s_suppkey % 3 = 1 AND version = 0 THEN TIMESTAMP '2024-01-15 00:00:00'
-       WHEN s_suppkey % 3 = 2 THEN TIMESTAMP '2024-01-25 00:00:00' END AS valid_to,
+  CASE WHEN version = 1 THEN {N} '2024-01-15 00:00:00'
+       WHEN s_suppkey % 3 = 2 THEN {N} '2024-01-05 00:00:00' END AS valid_from,
+  CASE WHEN s_suppkey % 3 = 1 AND version = 0 THEN {N} '2024-01-15 00:00:00'
+       WHEN s_suppkey % 3 = 2 THEN {N} '2024-01-25 00:00:00' END AS valid_to,
   CAST(floor(s_acctbal) AS BIGINT) AS number_of_events,
   CAST(8000000 + CASE WHEN s_suppkey % 4 = 3 THEN s_suppkey - 3 ELSE s_suppkey END AS BIGINT) AS meta_eva,
   s_nationkey AS area
@@ -98,8 +98,8 @@ SELECT o_orderkey AS obstacle_id,
   CASE CAST(o_orderkey % 6 AS INT) WHEN 0 THEN 24 WHEN 1 THEN 37 WHEN 2 THEN 63 WHEN 3 THEN 65 WHEN 4 THEN 70 ELSE 80 END AS priority,
   CAST(o_orderkey % 3 AS INT) AS category, o_orderpriority AS summary,
   CAST(o_orderkey % 25 AS INT) AS start_day, CAST(1 + o_orderkey % 4 AS INT) AS days,
-  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' DAY * CAST(o_orderkey % 25 AS INT) AS from_time,
-  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' DAY * CAST(o_orderkey % 25 + 1 + o_orderkey % 4 AS INT) AS to_time
+  {N} '2024-01-01 00:00:00' + INTERVAL '1' DAY * CAST(o_orderkey % 25 AS INT) AS from_time,
+  {N} '2024-01-01 00:00:00' + INTERVAL '1' DAY * CAST(o_orderkey % 25 + 1 + o_orderkey % 4 AS INT) AS to_time
 FROM orders
 """
 
