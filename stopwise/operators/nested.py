@@ -110,74 +110,99 @@ CONNECTION_SCHEMA = (
     f"stops: array<{_STOP}>, finalDestination: string>>")
 
 
-def _segment(s: Column) -> Column:
-    local = timecols.utc_to_local
-    train = s["train"]
-    operator = F.replace(train["admin"], F.lit("_"), F.lit(""))
-    dp_ct, ar_ct = local(s["departure"]["time"]), local(s["arrival"]["time"])
-    place = lambda i: F.element_at(s["stops"], i)["station"]["coordinates"]
-    gap = timecols.epoch_seconds(ar_ct) - timecols.epoch_seconds(dp_ct)
+def _flat_segment(s: Column) -> Column:
+    """A raw segment with its four times read once; everything after works on these fields."""
+    local, train = timecols.utc_to_local, s["train"]
+    place = lambda i: F.try_element_at(s["stops"], F.lit(i))["station"]["coordinates"]
     return F.struct(
+        (s["type"] == "WALK").alias("is_walk"),
         s["segmentStart"]["id"].cast("bigint").alias("dp_eva"), s["segmentStart"]["title"].alias("dp_station_display_name"),
         place(1)["lat"].alias("dp_lat"), place(1)["lng"].alias("dp_lon"),
-        local(s["departure"]["scheduledTime"]).alias("dp_pt"), dp_ct.alias("dp_ct"),
+        local(s["departure"]["scheduledTime"]).alias("dp_pt"), local(s["departure"]["time"]).alias("dp_ct"),
         s["departure"]["scheduledPlatform"].alias("dp_pp"), s["departure"]["platform"].alias("dp_cp"),
         s["segmentDestination"]["id"].cast("bigint").alias("ar_eva"), s["segmentDestination"]["title"].alias("ar_station_display_name"),
         place(-1)["lat"].alias("ar_lat"), place(-1)["lng"].alias("ar_lon"),
-        local(s["arrival"]["scheduledTime"]).alias("ar_pt"), ar_ct.alias("ar_ct"),
+        local(s["arrival"]["scheduledTime"]).alias("ar_pt"), local(s["arrival"]["time"]).alias("ar_ct"),
         s["arrival"]["scheduledPlatform"].alias("ar_pp"), s["arrival"]["platform"].alias("ar_cp"),
-        s["jid"].alias("jid"), train["name"].alias("train_name"), train["type"].alias("c"), train["number"].alias("n"), operator.alias("o"),
-        F.coalesce(s["finalDestination"], s["segmentDestination"]["title"]).alias("train_destination"),
-        timecols.duration_text(gap).alias("duration"))
+        s["jid"].alias("jid"), train["name"].alias("train_name"), train["type"].alias("c"), train["number"].alias("n"),
+        F.replace(train["admin"], F.lit("_"), F.lit("")).alias("o"),
+        F.coalesce(s["finalDestination"], s["segmentDestination"]["title"]).alias("train_destination"))
 
 
-def with_transfer_times(segments: Column) -> Column:
-    """Adds ``transfer_time`` to each segment: minutes to the next departure, negative if that leaves earlier."""
-    following = F.concat(F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0))), F.array(F.lit(None)))
-    gap = lambda s, n: timecols.epoch_seconds(n["dp_ct"]) - timecols.epoch_seconds(s["ar_ct"])
-    minutes = lambda s, n: (F.sign(gap(s, n)) * F.floor(F.abs(gap(s, n)) / 60)).cast("int")
-    return F.zip_with(segments, following, lambda s, n: s.withField("transfer_time", minutes(s, n)))
+SEGMENT_FIELDS = ("dp_eva dp_station_display_name dp_lat dp_lon dp_pt dp_ct dp_pp dp_cp ar_eva ar_station_display_name ar_lat ar_lon "
+                  "ar_pt ar_ct ar_pp ar_cp jid train_name c n o train_destination").split()
+
+
+def _neighbours(items: Column, make) -> Column:
+    """``make(item, next item)`` for each item of an array column; the last one meets null."""
+    following = F.concat(F.slice(items, F.lit(2), F.greatest(F.size(items), F.lit(0))), F.array(F.lit(None)))
+    return F.zip_with(items, following, make)
+
+
+def _gap(later: Column, earlier: Column) -> Column:
+    return timecols.epoch_seconds(later) - timecols.epoch_seconds(earlier)
+
+
+def _train(s: Column, following: Column) -> Column:
+    walk = F.floor(timecols.seconds_of_gap(following["ar_ct"], following["dp_ct"]) / 60).cast("int")
+    return F.struct(
+        *[s[f].alias(f) for f in SEGMENT_FIELDS], s["is_walk"].alias("is_walk"),
+        F.when(F.coalesce(following["is_walk"], F.lit(False)), walk).otherwise(F.lit(0)).alias("walk"),
+        timecols.duration_text(_gap(s["ar_ct"], s["dp_ct"])).alias("duration"))
+
+
+def transfer_minutes(s: Column, following: Column) -> Column:
+    """Minutes from an arrival to the next departure, negative if that leaves earlier."""
+    gap = _gap(following["dp_ct"], s["ar_ct"])
+    return (F.sign(gap) * F.floor(F.abs(gap) / 60)).cast("int")
+
+
+def _with_transfer(s: Column, following: Column) -> Column:
+    fields = [*SEGMENT_FIELDS, "walk", "duration"]
+    return F.struct(*[s[f].alias(f) for f in fields], transfer_minutes(s, following).alias("transfer_time"))
 
 
 def parse_connections(raw: DataFrame, column: str = "route", rideable_only: bool = True) -> DataFrame:
     """Route records of a planner (JSON text) to a summary and an array of train segments.
 
     A leading walk is dropped. A later walk gives its minutes to the segment before
-    it and does not count as a transfer.
+    it and does not count as a transfer. Each step is its own projection, so
+    Spark evaluates it once per row.
     """
-    r = raw.withColumn("_r", F.from_json(column, CONNECTION_SCHEMA))
-    all_segments = F.col("_r.segments")
-    leading = F.get(all_segments, F.lit(0))["type"] == "WALK"
-    r = r.withColumn("_s", F.when(leading, F.slice(all_segments, F.lit(2), F.size(all_segments))).otherwise(all_segments))
-    r = r.filter(F.size("_s") > 0)
-    local = timecols.utc_to_local
-    is_walk = lambda s: s["type"] == "WALK"
-    # per position the segment and the one after it, then only trains are kept
-    n = F.size("_s")
-    following = F.concat(F.slice("_s", F.lit(2), n), F.array(F.lit(None)))
-    walk_minutes = lambda s: F.floor(timecols.seconds_of_gap(local(s["arrival"]["time"]), local(s["departure"]["time"])) / 60).cast("int")
-    paired = F.zip_with("_s", following, lambda s, f: F.struct(
-        s.alias("s"), F.when(F.coalesce(is_walk(f), F.lit(False)), walk_minutes(f)).otherwise(F.lit(0)).alias("walk")))
-    trains = F.transform(F.filter(paired, lambda p: ~is_walk(p["s"])), lambda p: _segment(p["s"]).withField("walk", p["walk"]))
-    first, last = F.element_at("_s", 1), F.element_at("_s", -1)
-    dp_ct, ar_ct = local(first["departure"]["time"]), local(last["arrival"]["time"])
-    walks = F.size(F.filter("_s", is_walk))
+    keep = [c for c in raw.columns if c != column]
+    r = raw.select(*keep, F.from_json(column, CONNECTION_SCHEMA).alias("_r"))
+    if rideable_only:
+        r = r.filter("_r.isRideable")
+    r = r.withColumn("_s", F.transform("_r.segments", _flat_segment))
+    leading = F.coalesce(F.get("_s", F.lit(0))["is_walk"], F.lit(False))
+    r = r.withColumn("_p", F.slice("_s", F.when(leading, 2).otherwise(1), F.size("_s")))
+    r = r.withColumn("_t", F.filter(_neighbours(F.col("_p"), _train), lambda s: ~s["is_walk"]))
+    first, last = F.get("_p", F.lit(0)), F.try_element_at("_p", F.lit(-1))
     price = F.get(F.get("_r.tarifSet", F.lit(0))["fares"], F.lit(0))["price"]
     summary = F.struct(
-        first["segmentStart"]["id"].cast("bigint").alias("dp_eva"), first["segmentStart"]["title"].alias("dp_station_display_name"),
-        local(first["departure"]["scheduledTime"]).alias("dp_pt"), dp_ct.alias("dp_ct"),
-        last["segmentDestination"]["id"].cast("bigint").alias("ar_eva"), last["segmentDestination"]["title"].alias("ar_station_display_name"),
-        local(last["arrival"]["scheduledTime"]).alias("ar_pt"), ar_ct.alias("ar_ct"),
-        (n - 1 - walks).alias("transfers"), F.array_sort(F.array_distinct("_r.segmentTypes")).alias("train_categories"),
-        timecols.duration_text(timecols.epoch_seconds(ar_ct) - timecols.epoch_seconds(dp_ct)).alias("duration"),
+        first["dp_eva"].alias("dp_eva"), first["dp_station_display_name"].alias("dp_station_display_name"),
+        first["dp_pt"].alias("dp_pt"), first["dp_ct"].alias("dp_ct"),
+        last["ar_eva"].alias("ar_eva"), last["ar_station_display_name"].alias("ar_station_display_name"),
+        last["ar_pt"].alias("ar_pt"), last["ar_ct"].alias("ar_ct"),
+        (F.size("_t") - 1).alias("transfers"), F.array_sort(F.array_distinct("_r.segmentTypes")).alias("train_categories"),
+        timecols.duration_text(_gap(last["ar_ct"], first["dp_ct"])).alias("duration"),
         F.coalesce(price, F.lit(-1)).alias("price"), F.col("_r.isRideable").alias("is_rideable"))
-    parsed = r.select(*[c for c in raw.columns if c != column], summary.alias("summary"), with_transfer_times(trains).alias("segments"))
-    return parsed.filter("summary.is_rideable") if rideable_only else parsed
+    return r.select(*keep, summary.alias("summary"), _neighbours(F.col("_t"), _with_transfer).alias("segments"))
+
+
+def explode_segments(connections: DataFrame, *keep: str) -> DataFrame:
+    """One row per segment in the struct ``s``.
+
+    The outer form matters: for a plain explode Spark infers a filter on the whole
+    segment expression and pushes it below the parsing, which then runs many times.
+    """
+    rows = connections.select(*keep, F.posexplode_outer("segments").alias("position", "s"))
+    return rows.filter("position is not null")
 
 
 def connection_segments(connections: DataFrame, stations: DataFrame, key: str) -> DataFrame:
     """One row per segment, with station names as valid at departure ('' if unknown)."""
-    rows = connections.select(key, F.posexplode("segments").alias("position", "s")).select(key, "position", "s.*")
+    rows = explode_segments(connections, key).select(key, "position", "s.*")
     for end in ("dp", "ar"):
         named = stations.select(F.col("eva").alias(f"{end}_eva"), F.col("name").alias(f"{end}_station"), "valid_from", "valid_to")
         rows = station_lookup(rows, named, f"{end}_eva", "dp_pt", [f"{end}_station"])

@@ -9,6 +9,7 @@ from stopwise.functions.codes import SUPERSEDES
 from stopwise.operators import nested
 from stopwise.operators.clean import ENDS
 from stopwise.plans.registry import query
+from stopwise.session import fresh_path
 
 
 def _paths(t):
@@ -123,7 +124,20 @@ def _(t):
 # --- connections made of orders --------------------------------------------------------
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def raw_connections(t):
+    """The routes as a stored table of JSON texts, written once per application."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _STORED:
+        path = fresh_path(t.spark, "routes")
+        make_connections(t).write.parquet(path)
+        _STORED[key] = path
+    return t.spark.read.parquet(_STORED[key])
+
+
+def make_connections(t):
     """One route per order: 1 to 4 trains, some with a walk in front or after the first train."""
     base = timecols.epoch_seconds(F.col("o_orderdate")) + (F.col("o_custkey") % 1440) * 60
     k = F.col("o_orderkey")
@@ -170,14 +184,15 @@ local AS (SELECT *, CAST(timezone('Europe/Berlin', timezone('UTC', base)) AS TIM
   CAST(timezone('Europe/Berlin', timezone('UTC', base + INTERVAL '1' MINUTE * CAST(k % 9 AS INT))) AS TIMESTAMP) AS dp_ct,
   CAST(timezone('Europe/Berlin', timezone('UTC', base + INTERVAL '1' MINUTE * CAST(last * 50 + 35 AS INT))) AS TIMESTAMP) AS ar_pt,
   CAST(timezone('Europe/Berlin', timezone('UTC', base + INTERVAL '1' MINUTE * CAST(last * 50 + 35 + (k + last * 7) % 23 AS INT))) AS TIMESTAMP) AS ar_ct FROM o),
-seg AS (SELECT k, last, i, CASE WHEN i = last THEN NULL ELSE CAST((i + 1) * 50 + k % 9 - (i * 50 + 35 + (k + i * 7) % 23) AS INT) END AS transfer_time,
+seg AS (SELECT k, last, i, CASE WHEN i < last THEN CAST((epoch(timezone('Europe/Berlin', timezone('UTC', base + INTERVAL '1' MINUTE * CAST((i + 1) * 50 + k % 9 AS INT))))
+     - epoch(timezone('Europe/Berlin', timezone('UTC', base + INTERVAL '1' MINUTE * CAST(i * 50 + 35 + (k + i * 7) % 23 AS INT))))) / 60 AS INT) END AS transfer_time,
   CASE WHEN i = 0 AND k % 6 = 0 AND last > 0 THEN CAST(k % 8 AS INT) ELSE 0 END AS walk FROM (SELECT *, unnest(range(0, last + 1)) AS i FROM o))
 """
 
 
 @query("parse_connections", CONNECTIONS + """
 SELECT k AS o_orderkey, dp_pt, dp_ct, ar_pt, ar_ct, CAST(last AS INT) AS transfers, 'IC,RE' AS train_categories,
-  CAST((epoch(ar_ct) - epoch(dp_ct)) // 3600 AS VARCHAR).replace('.0', '') || ':' || lpad(CAST(CAST((epoch(ar_ct) - epoch(dp_ct)) % 3600 / 60 AS INT) AS VARCHAR), 2, '0') AS duration,
+  CASE WHEN ar_ct < dp_ct THEN '-1 day, ' ELSE '' END || CAST(CAST(floor((epoch(ar_ct) - epoch(dp_ct) + CASE WHEN ar_ct < dp_ct THEN 86400 ELSE 0 END) / 3600) AS INT) AS VARCHAR) || ':' || lpad(CAST(CAST((epoch(ar_ct) - epoch(dp_ct) + 86400) % 3600 / 60 AS INT) AS VARCHAR), 2, '0') AS duration,
   CASE WHEN k % 3 = 0 THEN CAST(k % 500 AS INT) ELSE -1 END AS price, w.walks, CAST(last + 1 AS INT) AS trains
 FROM local JOIN (SELECT k, string_agg(CAST(walk AS VARCHAR), ',' ORDER BY i) AS walks FROM seg GROUP BY k) w USING (k)""")
 def _(t):
@@ -192,7 +207,7 @@ def _(t):
 @query("transfer_time", CONNECTIONS + "SELECT k AS o_orderkey, CAST(i AS INT) AS position, transfer_time FROM seg")
 def _(t):
     c = nested.parse_connections(raw_connections(t))
-    return c.select("o_orderkey", F.posexplode("segments").alias("position", "s")).select("o_orderkey", "position", "s.transfer_time")
+    return nested.explode_segments(c, "o_orderkey").select("o_orderkey", "position", "s.transfer_time")
 
 
 @query("rideable_only", "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 3")
