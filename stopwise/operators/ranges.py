@@ -52,8 +52,8 @@ def obstacles_on_edges(edge_uses: DataFrame, obstacles: DataFrame, time: str) ->
 PRIORITIES = (24, 37, 63, 65, 70, 80)
 
 
-def obstacles_on_path(paths: DataFrame, obstacles: DataFrame, key: str, path: str, time: str) -> DataFrame:
-    """Length of obstacles per priority on the edges of each path; 0 where there are none.
+def obstacle_lengths(paths: DataFrame, obstacles: DataFrame, key: str, path: str, time: str) -> DataFrame:
+    """Length of obstacles per priority and ``key``, summed over all its paths; keys without any are absent.
 
     ``obstacles`` holds edge_id, priority, length, from_time, to_time. An edge that
     a path uses twice counts twice.
@@ -61,6 +61,10 @@ def obstacles_on_path(paths: DataFrame, obstacles: DataFrame, key: str, path: st
     uses = paths.filter(F.col(path).isNotNull() & F.col(time).isNotNull()).select(key, time, F.explode(path).alias("edge_id"))
     hits = obstacles_on_edges(uses, obstacles.select("edge_id", "priority", "length", "from_time", "to_time"), time)
     total = lambda p: F.sum(F.when(F.col("priority") == p, F.col("length")).otherwise(F.lit(0.0)))
-    sums = hits.groupBy(key).agg(*[total(p).alias(f"priority_{p}") for p in PRIORITIES])
-    joined = paths.join(sums, key, "left")
+    return hits.groupBy(key).agg(*[total(p).alias(f"priority_{p}") for p in PRIORITIES])
+
+
+def obstacles_on_path(paths: DataFrame, obstacles: DataFrame, key: str, path: str, time: str) -> DataFrame:
+    """Rows with the length of obstacles per priority on their path; 0 where there are none."""
+    joined = paths.join(obstacle_lengths(paths, obstacles, key, path, time), key, "left")
     return joined.fillna(0.0, subset=[f"priority_{p}" for p in PRIORITIES])
