@@ -12,11 +12,11 @@ METRES_PER_DEGREE = math.pi * EARTH_RADIUS_M / 180
 
 
 def distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in metres."""
+    """Great-circle distance in metres; null if a coordinate is missing."""
     half = lambda a, b: F.sin((F.radians(b) - F.radians(a)) / 2)
     dlat, dlon = half(lat1, lat2), half(lon1, lon2)
     h = dlat * dlat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * dlon * dlon
-    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def polyline_length_m(points: Column) -> Column:

@@ -70,25 +70,31 @@ def sample_key(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def exact_samples(rows: DataFrame, key: str, sizes: DataFrame, seed: int = 0) -> DataFrame:
+def exact_samples(rows: DataFrame, key: str, sizes: DataFrame, seed: int = 0, group: str | None = None) -> DataFrame:
     """Exact samples of several sizes; ``sizes`` is a short table of (sample, size).
 
     Sample s is the ``size`` rows with the smallest hash of the unique ``key`` (all
-    rows if there are fewer). Counts per hash bucket tell in which bucket each
-    sample ends; only the rows of those buckets are ordered.
+    rows if there are fewer); with ``group`` it takes only rows whose group is s.
+    Counts per hash bucket tell in which bucket each sample ends (one row per sample,
+    fetched so that the second pass can filter on it), and only the rows of those
+    buckets are ordered.
     """
     hashed = rows.withColumn("_h", sample_key(F.col(key), seed))
-    hashed = hashed.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
-    wanted = sizes.agg(F.collect_list(F.struct("sample", "size"))).scalar()  # the short table
-    up_to = W.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)  # at most 65 536 rows
-    counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    ends = counts.select("_b", "_n", F.sum("_n").over(up_to).alias("_end"), F.lead("_b").over(W.orderBy("_b")).alias("_next"))
-    ends = ends.withColumn("_w", wanted)
-    ends_here = lambda s: (s["size"] > F.col("_end") - F.col("_n")) & ((s["size"] <= F.col("_end")) | F.col("_next").isNull())
-    edges = ends.withColumn("_s", F.explode(F.filter("_w", ends_here))).select(
+    hashed = hashed.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS)).withColumn("_g", F.col(group) if group else F.lit(0))
+    counts = hashed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    by_bucket = W.partitionBy("_g").orderBy("_b")  # at most 65 536 rows per sample
+    ends = counts.withColumns({"_end": F.sum("_n").over(by_bucket), "_next": F.lead("_b").over(by_bucket)})
+    ends = ends.withColumn("_w", sizes.agg(F.collect_list(F.struct("sample", "size"))).scalar())
+    own = (lambda s: s["sample"] == F.col("_g")) if group else (lambda s: F.lit(True))
+    ends_here = lambda s: own(s) & (s["size"] > F.col("_end") - F.col("_n")) & ((s["size"] <= F.col("_end")) | F.col("_next").isNull())
+    found = ends.withColumn("_s", F.explode(F.filter("_w", ends_here))).select(
         F.col("_s.sample").alias("sample"), F.col("_b").alias("edge"), (F.col("_s.size") - F.col("_end") + F.col("_n")).alias("left"))
-    edge_list = edges.agg(F.collect_list(F.struct("sample", "edge", "left"))).scalar()
-    taken = hashed.withColumn("_w", edge_list).withColumn("_e", F.explode(F.filter("_w", lambda e: e["edge"] >= F.col("_b"))))
+    kind = dict(sizes.dtypes)["sample"]
+    edges = [F.struct(F.lit(r["sample"]).cast(kind).alias("sample"), F.lit(r["edge"]).alias("edge"), F.lit(r["left"]).alias("left")) for r in found.collect()]
+    if not edges:
+        return rows.withColumn("sample", F.lit(None).cast(kind)).limit(0)
+    mine = (lambda e: e["sample"] == F.col("_g")) if group else (lambda e: F.lit(True))
+    taken = hashed.withColumn("_e", F.explode(F.filter(F.array(*edges), lambda e: mine(e) & (e["edge"] >= F.col("_b")))))
     taken = taken.withColumn("sample", F.col("_e.sample"))
     whole = taken.filter("_e.edge > _b")
     rank = F.row_number().over(W.partitionBy("sample", "_b").orderBy("_h", key))

@@ -318,7 +318,8 @@ def _(t):
                        scoring.transfer_doable(planned, F.col("ar_delay"), F.col("dp_delay"), 5).alias("doable_5"))
 
 
-DISTANCE_SQL = "2 * 6371008.8 * asin(sqrt(least(pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin((radians({d}) - radians({b})) / 2), 2), 1.0)))"
+HAVERSINE_SQL = "(pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin((radians({d}) - radians({b})) / 2), 2))"
+DISTANCE_SQL = f"(2 * 6371008.8 * asin(sqrt(CASE WHEN {HAVERSINE_SQL} > 1 THEN 1.0 ELSE {HAVERSINE_SQL} END)))"
 
 
 def distance_sql(a, b, c, d):
