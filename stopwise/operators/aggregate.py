@@ -114,12 +114,12 @@ def circular_rolling_mean(rows: DataFrame, key: str, columns: list[str], window:
     half = window // 2
     numbered = rows.withColumn("_i", F.row_number().over(W.orderBy(key)) - 1)
     numbered = numbered.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy()))
-    around = F.explode(F.sequence(F.col("_i") - half, F.col("_i") + half))
-    spread = numbered.select(*columns, "_n", around.alias("_p")).withColumn("_i", F.pmod("_p", "_n").cast("int"))
+    spread = numbered.withColumn("_p", F.explode(F.sequence(F.col("_i") - half, F.col("_i") + half)))
+    spread = spread.withColumn("_at", F.pmod("_p", "_n"))
     full = lambda c: F.when(F.count(c) == window, F.avg(c)).alias(c)
-    rolled = spread.groupBy("_i").agg(*[full(c) for c in columns])
-    rest = [c for c in rows.columns if c not in columns]
-    return numbered.select("_i", *rest).join(rolled, "_i").select(*rows.columns)
+    own = lambda c: F.max(F.when(F.col("_p") == F.col("_i"), F.col(c))).alias(c)
+    rolled = spread.groupBy("_at").agg(*[full(c) if c in columns else own(c) for c in rows.columns])
+    return rolled.drop("_at")
 
 
 def over_hour(stops: DataFrame) -> DataFrame:
@@ -210,33 +210,36 @@ def date_limits(days: DataFrame, freq_hours: int = 24) -> DataFrame:
 # --- works on the track ----------------------------------------------------------------
 
 EFFECT_ROWS = [*OBSTACLE_COLUMNS, "all"]
+EFFECTS = ("ar_delay", "dp_delay", "ar_cancel", "dp_cancel")
 
 
-def _effect_measures(side: str) -> list[Column]:
-    return [F.avg("ar_delay").alias(f"ar_delay_{side}"), F.avg("dp_delay").alias(f"dp_delay_{side}"),
-            _share(is_cancelled(F.col("ar_cs"))).alias(f"ar_cancel_{side}"), _share(is_cancelled(F.col("dp_cs"))).alias(f"dp_cancel_{side}")]
+def _effects(side: str, inside: Column | None = None) -> list[Column]:
+    pick = lambda c: c if inside is None else F.when(inside, c)
+    values = [F.col("ar_delay"), F.col("dp_delay"), *[is_cancelled(F.col(f"{e}_cs")).cast("int") for e in ENDS]]
+    return [F.avg(pick(v)).alias(f"{name}_{side}") for name, v in zip(EFFECTS, values)]
 
 
 def obstacle_effect(stops: DataFrame, key: str = "hash_id", sampled: bool = False, seed: int = 0) -> DataFrame:
     """Delays and cancellations with and without works, per priority and over all.
 
-    With ``sampled`` the side without works is an exact sample as large as the other side.
+    One conditional aggregate over one scan. With ``sampled`` the side without works
+    is an exact sample as large as the other side.
     """
     rows = without_outliers(stops).withColumn("_any", has_obstacle())
-    hits = F.array(*[F.when(F.coalesce(F.col(c) > 0, F.lit(False)), F.lit(c)) for c in OBSTACLE_COLUMNS], F.when(F.col("_any"), F.lit("all")))
-    touched = rows.filter("_any").withColumn("priority", F.explode(F.array_compact(hits)))
-    with_works = touched.groupBy("priority").agg(F.count(F.lit(1)).alias("n"), *_effect_measures("with"))
-    free = rows.filter("not _any").select(key, "ar_delay", "dp_delay", "ar_cs", "dp_cs")
+    inside = {c: F.coalesce(F.col(c) > 0, F.lit(False)) for c in OBSTACLE_COLUMNS} | {"all": F.col("_any")}
+    groups = [F.struct(F.lit(name).alias("priority"), F.count(F.when(inside[name], 1)).alias("n"), *_effects("with", inside[name])).alias(f"_{i}")
+              for i, name in enumerate(EFFECT_ROWS)]
+    without = [] if sampled else [F.struct(*_effects("without", ~F.col("_any"))).alias("_without")]
+    one = rows.agg(*groups, *without)
+    table = one.select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(groups))])), *(["_without"] if without else []))
     if sampled:
-        sizes = with_works.select(F.col("priority").alias("sample"), F.col("n").alias("size"))
-        drawn = exact_samples(free, key, sizes, seed)
-        without = drawn.groupBy(F.col("sample").alias("priority")).agg(*_effect_measures("without"))
+        free = rows.filter("not _any").select(key, "ar_delay", "dp_delay", "ar_cs", "dp_cs")
+        sizes = table.select(F.col("priority").alias("sample"), F.col("n").alias("size"))
+        drawn = exact_samples(free, key, sizes, seed).groupBy(F.col("sample").alias("priority")).agg(*_effects("without"))
+        joined = table.join(drawn, "priority", "left")
     else:
-        names = F.explode(F.array(*[F.lit(n) for n in EFFECT_ROWS]))
-        without = free.agg(*_effect_measures("without")).withColumn("priority", names)
-    joined = with_works.join(without, "priority")
-    delta = [(F.col(f"{m}_with") - F.col(f"{m}_without")).alias(f"{m}_delta") for m in ("ar_delay", "dp_delay", "ar_cancel", "dp_cancel")]
-    return joined.select("*", *delta)
+        joined = table.select("*", "_without.*").drop("_without")
+    return joined.select("*", *[(F.col(f"{m}_with") - F.col(f"{m}_without")).alias(f"{m}_delta") for m in EFFECTS])
 
 
 def delay_histogram(stops: DataFrame) -> DataFrame:

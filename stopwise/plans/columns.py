@@ -35,6 +35,14 @@ def _(t):
 
 
 def raw_plan(t):
+    return t.stored("plans", lambda: make_plan(t))
+
+
+def raw_change(t):
+    return t.stored("changes", lambda: make_change(t))
+
+
+def make_plan(t):
     """Nested plan records built from the stops view, as JSON text."""
     compact = lambda c: F.date_format(c, timecols.COMPACT_FORMAT)
     s = t.stops
@@ -49,7 +57,7 @@ def raw_plan(t):
     return s.select("hash_id", F.to_json(stop).alias("stop"))
 
 
-def raw_change(t):
+def make_change(t):
     """Nested change records for a part of the stops, as JSON text."""
     compact = lambda c: F.date_format(c, timecols.COMPACT_FORMAT)
     s = t.stops.filter("hash_id % 4 <> 1")

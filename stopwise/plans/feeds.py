@@ -38,11 +38,6 @@ def _(t):
     return feeds.latest_rows(t.spark, target, ["hash_id"])
 
 
-def _stored_raw(t):
-    plan, change = _stored(t, raw_plan(t), "plan"), _stored(t, raw_change(t), "change")
-    return t.spark.read.parquet(plan), t.spark.read.parquet(change)
-
-
 PARSED = """
 WITH p AS (SELECT hash_id, station, ar_pt, dp_pt, CASE WHEN hash_id % 4 <> 1 THEN coalesce(ar_ct, ar_pt) ELSE ar_pt END AS ar_ct,
   CASE WHEN hash_id % 4 <> 1 THEN coalesce(dp_ct, dp_pt) ELSE dp_pt END AS dp_ct FROM stops WHERE hash_id % 2 = 0 OR hash_id % 3 = 0),
@@ -52,7 +47,7 @@ SELECT hash_id, station, ar_ct, dp_ct, CASE WHEN b >= -1 THEN a ELSE 0 END AS ar
 
 @query("continuous_parse", PARSED, views="stops")
 def _(t):
-    plan, change = _stored_raw(t)
+    plan, change = raw_plan(t), raw_change(t)
     keys = feeds.read_feed(t.spark, _key_feed(t), "hash_id bigint", files_per_batch=4)
     target = fresh_path(t.spark, "parsed")
     feeds.continuous_parse(keys, plan, change, target, fresh_path(t.spark, "offsets"), seconds=None).awaitTermination()

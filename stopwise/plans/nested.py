@@ -9,7 +9,6 @@ from stopwise.functions.codes import SUPERSEDES
 from stopwise.operators import nested
 from stopwise.operators.clean import ENDS
 from stopwise.plans.registry import query
-from stopwise.session import fresh_path
 
 
 def _paths(t):
@@ -124,17 +123,8 @@ def _(t):
 # --- connections made of orders --------------------------------------------------------
 
 
-_STORED: dict[tuple[str, str], str] = {}
-
-
 def raw_connections(t):
-    """The routes as a stored table of JSON texts, written once per application."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _STORED:
-        path = fresh_path(t.spark, "routes")
-        make_connections(t).write.parquet(path)
-        _STORED[key] = path
-    return t.spark.read.parquet(_STORED[key])
+    return t.stored("routes", lambda: make_connections(t))
 
 
 def make_connections(t):

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from stopwise.operators.clean import with_delays
+from stopwise.session import fresh_path
 from stopwise.sources.stand_ins import render
 
 BASE = ("region nation customer supplier part orders lineitem events documents "
         "embeddings pages benchmark labels conversations").split()
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
 
 class Tables:
     """Lazy frames over one folder of Parquet tables."""
@@ -25,6 +30,15 @@ class Tables:
         return self.spark.sql(render(name, "spark").replace(f"FROM {needs}", "FROM {" + needs + "}"),
                               **{needs: self.base(needs)})
 
+    def stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A frame written to the shared folder once per application, as a feed would store it."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            path = fresh_path(self.spark, name)
+            make().write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
             return self.base(name)
