@@ -213,33 +213,38 @@ EFFECT_ROWS = [*OBSTACLE_COLUMNS, "all"]
 EFFECTS = ("ar_delay", "dp_delay", "ar_cancel", "dp_cancel")
 
 
-def _effects(side: str, inside: Column | None = None) -> list[Column]:
-    pick = lambda c: c if inside is None else F.when(inside, c)
+def _effect_values() -> dict[str, Column]:
     values = [F.col("ar_delay"), F.col("dp_delay"), *[is_cancelled(F.col(f"{e}_cs")).cast("int") for e in ENDS]]
-    return [F.avg(pick(v)).alias(f"{name}_{side}") for name, v in zip(EFFECTS, values)]
+    return dict(zip(EFFECTS, values))
 
 
 def obstacle_effect(stops: DataFrame, key: str = "hash_id", sampled: bool = False, seed: int = 0) -> DataFrame:
     """Delays and cancellations with and without works, per priority and over all.
 
-    One conditional aggregate over one scan. With ``sampled`` the side without works
-    is an exact sample as large as the other side.
+    One scan: stops are summed up per combination of the six flags (64 groups at
+    most), and all priorities are read off those. With ``sampled`` the side without
+    works is an exact sample as large as the other side.
     """
-    rows = without_outliers(stops).withColumn("_any", has_obstacle())
-    inside = {c: F.coalesce(F.col(c) > 0, F.lit(False)) for c in OBSTACLE_COLUMNS} | {"all": F.col("_any")}
-    groups = [F.struct(F.lit(name).alias("priority"), F.count(F.when(inside[name], 1)).alias("n"), *_effects("with", inside[name])).alias(f"_{i}")
-              for i, name in enumerate(EFFECT_ROWS)]
-    without = [] if sampled else [F.struct(*_effects("without", ~F.col("_any"))).alias("_without")]
-    one = rows.agg(*groups, *without)
-    table = one.select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(groups))])), *(["_without"] if without else []))
+    flags = {c: F.coalesce(F.col(c) > 0, F.lit(False)) for c in OBSTACLE_COLUMNS}
+    values = _effect_values()
+    rows = without_outliers(stops)
+    groups = rows.groupBy(*[flag.alias(c) for c, flag in flags.items()]).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(m) for m, v in values.items()])
+    anyone = F.greatest(*[F.col(c) for c in OBSTACLE_COLUMNS])
+    inside = {c: F.col(c) for c in OBSTACLE_COLUMNS} | {"all": anyone, "none": ~anyone}
+    total = lambda c, keep: F.sum(F.when(keep, F.col(c)).otherwise(0))
+    cells = [F.struct(F.lit(name).alias("priority"), total("n", keep).alias("n"), *[(total(m, keep) / F.nullif(total("n", keep), F.lit(0))).alias(m) for m in EFFECTS]).alias(name)
+             for name, keep in inside.items()]
+    one = groups.agg(*cells)
+    table = one.select(F.inline(F.array(*[F.col(name) for name in EFFECT_ROWS])), *[F.col(f"none.{m}").alias(f"{m}_without") for m in EFFECTS])
+    table = table.withColumnsRenamed({m: f"{m}_with" for m in EFFECTS})
     if sampled:
-        free = rows.filter("not _any").select(key, "ar_delay", "dp_delay", "ar_cs", "dp_cs")
+        free = rows.filter(~has_obstacle()).select(key, "ar_delay", "dp_delay", "ar_cs", "dp_cs")
         sizes = table.select(F.col("priority").alias("sample"), F.col("n").alias("size"))
-        drawn = exact_samples(free, key, sizes, seed).groupBy(F.col("sample").alias("priority")).agg(*_effects("without"))
-        joined = table.join(drawn, "priority", "left")
-    else:
-        joined = table.select("*", "_without.*").drop("_without")
-    return joined.select("*", *[(F.col(f"{m}_with") - F.col(f"{m}_without")).alias(f"{m}_delta") for m in EFFECTS])
+        drawn = exact_samples(free, key, sizes, seed).groupBy(F.col("sample").alias("priority")).agg(
+            *[F.avg(v).alias(f"{m}_without") for m, v in values.items()])
+        table = table.drop(*[f"{m}_without" for m in EFFECTS]).join(drawn, "priority", "left")
+    return table.select("*", *[(F.col(f"{m}_with") - F.col(f"{m}_without")).alias(f"{m}_delta") for m in EFFECTS])
 
 
 def delay_histogram(stops: DataFrame) -> DataFrame:
@@ -255,6 +260,17 @@ def corr_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.inline(cells))
 
 
+def distinct_counts(rows: DataFrame, columns: list[str], error: float | None = None) -> DataFrame:
+    """Number of distinct values per column; with ``error`` from a sketch of that relative deviation."""
+    count = (lambda c: F.count_distinct(c)) if error is None else (lambda c: F.approx_count_distinct(c, error))
+    return rows.agg(*[count(c).alias(c) for c in columns])
+
+
+def flat_aggregates(spec: dict[str, list[str]]) -> list[Column]:
+    """``{column: [function, ...]}`` as aggregates called ``column_function``; ``first`` keeps the bare name."""
+    return [getattr(F, f)(c).alias(c if f == "first" else f"{c}_{f}") for c, functions in spec.items() for f in functions]
+
+
 def download_stats(runs: DataFrame, time: str = "ts") -> DataFrame:
     """Cycles and mean times per hour of a run log with columns download and upload."""
     hour = timecols.floor_to_seconds(F.col(time), 3600)

@@ -1,36 +1,47 @@
 """Timetable statistics on stop times (GTFS shape).
 
-``stop_times``: trip_id, seq, stop, lat, lon, at (timestamp), route. Distances are
+``stop_times``: trip_id, seq (0, 1, 2, ... in a trip), stop, lat, lon, at, route. Distances are
 whole millimetres while they are summed, so sums do not depend on their order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stopwise.functions import timecols
 from stopwise.functions.geo import distance_m
-from stopwise.operators.numbering import running_sums
 from stopwise.operators.ranges import point_in_interval_join
 
 
+CHUNK = 1000  # stops of a trip that are ordered together
+
+
 def legs(stop_times: DataFrame) -> DataFrame:
-    """Each stop with the one before it on its trip (an equi join, so trips of any length spread out)."""
-    before = stop_times.select("trip_id", (F.col("seq") + 1).alias("seq"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), F.col("at").alias("at0"))
-    joined = stop_times.join(before, ["trip_id", "seq"], "left")
+    """Each stop with the one before it on its trip.
+
+    Trips are cut into chunks of CHUNK stops, so a window never holds more than that;
+    the last stop of a chunk is repeated as the predecessor of the next one.
+    """
+    own = F.floor(F.col("seq") / CHUNK)
+    both = F.array_compact(F.array(own, F.when(F.col("seq") % CHUNK == CHUNK - 1, own + 1)))
+    ordered = W.partitionBy("trip_id", "_chunk").orderBy("seq")
+    rows = stop_times.withColumn("_chunk", F.explode(both))
+    rows = rows.withColumns({f"{c}0": F.lag(c).over(ordered) for c in ("lat", "lon", "at")}).filter(own == F.col("_chunk"))
     length = F.round(distance_m(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")) * 1000).cast("bigint")
-    return joined.withColumn("leg_mm", F.coalesce(length, F.lit(0)))
+    return rows.withColumn("leg_mm", F.coalesce(length, F.lit(0)))
 
 
 def stop_distances(stop_times: DataFrame) -> DataFrame:
-    """Metres from the start of the trip to each stop.
-
-    One running sum over all trips, minus its value at the first stop of the trip.
-    """
-    summed = running_sums(legs(stop_times), [F.col("trip_id"), F.col("seq")], {"_run": F.col("leg_mm")})
-    first = summed.groupBy("trip_id").agg(F.min("_run").alias("_start"))
-    return summed.join(first, "trip_id").select(*stop_times.columns, ((F.col("_run") - F.col("_start")) / 1000).alias("distance_m"))
+    """Metres from the start of the trip to each stop: running sum in the chunk plus all chunks before."""
+    moved = legs(stop_times)
+    running = F.sum("leg_mm").over(W.partitionBy("trip_id", "_chunk").orderBy("seq"))
+    before = W.partitionBy("trip_id").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)  # one row per chunk
+    chunks = moved.groupBy("trip_id", "_chunk").agg(F.sum("leg_mm").alias("_mm"))
+    offsets = chunks.select("trip_id", "_chunk", F.coalesce(F.sum("_mm").over(before), F.lit(0)).alias("_before"))
+    summed = moved.withColumn("_run", running).join(offsets, ["trip_id", "_chunk"])
+    return summed.select(*stop_times.columns, ((F.col("_run") + F.col("_before")) / 1000).alias("distance_m"))
 
 
 def trip_stats(stop_times: DataFrame) -> DataFrame:

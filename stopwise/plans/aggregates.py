@@ -267,7 +267,15 @@ def _(t):
 
 @query("distinct_values", "SELECT count(DISTINCT station) AS stations, count(DISTINCT n) AS trains, count(DISTINCT o) AS operators FROM stops", views="stops")
 def _(t):
-    return t.stops.agg(F.count_distinct("station").alias("stations"), F.count_distinct("n").alias("trains"), F.count_distinct("o").alias("operators"))
+    counts = aggregate.distinct_counts(t.stops, ["station", "n", "o"])
+    return counts.withColumnsRenamed({"station": "stations", "n": "trains", "o": "operators"})
+
+
+@query("flatten_names", """
+SELECT c, count(ar_delay) AS ar_delay_count, round(avg(ar_delay), 6) AS ar_delay_mean, max(dp_delay) AS dp_delay_max, c AS first_c FROM delayed GROUP BY c""", views="delayed")
+def _(t):
+    rows = t.delayed.withColumn("first_c", F.col("c"))
+    return rounded(rows.groupBy("c").agg(*aggregate.flat_aggregates({"ar_delay": ["count", "mean"], "dp_delay": ["max"], "first_c": ["first"]})))
 
 
 @query("variance", "SELECT station, round(var_pop(ar_delay), 6) AS variance, round(stddev_pop(ar_delay), 6) AS deviation FROM delayed GROUP BY station", views="delayed")

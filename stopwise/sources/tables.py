@@ -31,11 +31,15 @@ class Tables:
                               **{needs: self.base(needs)})
 
     def stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """A frame written to the shared folder once per application, as a feed would store it."""
+        """A frame written to the shared folder once per application, as a feed or a nightly refresh would.
+
+        Inputs with fewer splits than cores are spread over files, so that later scans use all cores.
+        """
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _STORED:
             path = fresh_path(self.spark, name)
-            make().write.parquet(path)
+            made, cores = make(), self.spark.sparkContext.defaultParallelism
+            (made.repartition(cores) if made.rdd.getNumPartitions() < cores else made).write.parquet(path)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 
@@ -46,12 +50,13 @@ class Tables:
 
     @property
     def stops(self) -> DataFrame:
-        return self.view("stops", "events")
+        """The stop-event table: all events in the shape of stops, stored as Parquet."""
+        return self.stored("stops", lambda: self.view("stops", "events"))
 
     @property
     def delayed(self) -> DataFrame:
-        """Stops with platform, delays and the happened / cancelled flags."""
-        return with_delays(self.stops)
+        """The refreshed table: stops with platform, delays and the happened / cancelled flags."""
+        return self.stored("delayed", lambda: with_delays(self.stops))
 
     @property
     def stations(self) -> DataFrame:
