@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopwise.operators.numbering import global_row_number
@@ -49,14 +48,21 @@ def label_encode(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def min_max_scale(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``(x - min) / (max - min)``; null where all values are equal."""
-    # one struct, so the plan holds a single subquery however many columns there are
-    bounds = rows.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])).scalar()
-    return rows.withColumns({
-        f"{c}_scaled": (F.col(c) - bounds[f"lo_{c}"]) / F.nullif(bounds[f"hi_{c}"] - bounds[f"lo_{c}"], F.lit(0)) for c in columns})
+    """``(x - min) / (max - min)``; null where all values are equal.
+
+    The bounds are one fetched row, so the scaled frame is a plain projection.
+    """
+    bounds = rows.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).first()
+
+    def scaled(c: str) -> Column:
+        low, high = F.lit(bounds[f"lo_{c}"]), F.lit(bounds[f"hi_{c}"])
+        return (F.col(c) - low) / F.nullif(high - low, F.lit(0))
+
+    return rows.withColumns({f"{c}_scaled": scaled(c) for c in columns})
 
 
 def standard_scale(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Z-scores with the population deviation."""
-    stats = rows.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("avg", F.avg), ("dev", F.stddev_pop))])).scalar()
-    return rows.withColumns({f"{c}_scaled": (F.col(c) - stats[f"avg_{c}"]) / F.nullif(stats[f"dev_{c}"], F.lit(0.0)) for c in columns})
+    """Z-scores with the population deviation; null where all values are equal."""
+    stats = rows.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("avg", F.avg), ("dev", F.stddev_pop))]).first()
+    return rows.withColumns({
+        f"{c}_scaled": (F.col(c) - F.lit(stats[f"avg_{c}"])) / F.nullif(F.lit(stats[f"dev_{c}"]), F.lit(0.0)) for c in columns})

@@ -195,7 +195,7 @@ def prune_dead_ends(edges: DataFrame, typed: DataFrame, most_rounds: int = 10000
     """Remove untyped nodes with fewer than two edges, again and again until none is left."""
     current = cut_lineage(edges)
     for _ in range(most_rounds):
-        dead = _degrees(current).filter("degree < 2").join(typed, "node", "left_anti").select("node")
+        dead = cut_lineage(_degrees(current).filter("degree < 2").join(typed, "node", "left_anti").select("node"))
         if dead.isEmpty():
             break
         kept = current.join(dead, F.col("u") == F.col("node"), "left_anti").join(dead, F.col("v") == F.col("node"), "left_anti")
