@@ -166,7 +166,8 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def packed_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """Every piece of every document with its ids, sequence and offset."""
-    return pack(numbered(tokenized_pieces(docs, path, window), "pieces"), window)
+    pieces = numbered(tokenized_pieces(docs, path, window), "pieces")
+    return pack(pieces.drop("ids"), window).join(pieces.select("_row", "ids"), "_row")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -181,9 +182,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def digest(packed: DataFrame) -> DataFrame:
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return digest(packed_documents(table(spark, folder, "documents"), tokenizer_path()))
+    pieces = numbered(tokenized_pieces(table(spark, folder, "documents"), tokenizer_path()), "pieces")
+    narrow = pieces.select("_row", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return pack(narrow).drop("_row")

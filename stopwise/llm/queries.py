@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from stopwise.llm import neighbours, packing, pages, sharding
+from stopwise.llm import neighbours, packing, pages, quality, sharding
 
 QUERIES = {f.__name__: f for f in (
     pages.op1_nearest_url_differencing,
     packing.op2_best_fit_packing,
     neighbours.op4_adaptive_dimension_scan,
     sharding.op8_rendezvous_sharding,
+    quality.op9_neighbour_voting,
 )}
 
 ORACLES: dict[str, str] = {}
