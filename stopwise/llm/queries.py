@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from stopwise.llm import neighbours, packing, pages, quality, sharding, toxicity
+from stopwise.llm import contamination, neighbours, packing, pages, quality, sharding, toxicity
 
 QUERIES = {f.__name__: f for f in (
     pages.op1_nearest_url_differencing,
     packing.op2_best_fit_packing,
     neighbours.op4_adaptive_dimension_scan,
     sharding.op8_rendezvous_sharding,
+    contamination.op5_containment_search,
     toxicity.op6_noisy_channel_toxicity,
     quality.op9_neighbour_voting,
 )}
