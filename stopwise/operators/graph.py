@@ -41,7 +41,7 @@ def unordered(pairs: DataFrame, source: str = "source", target: str = "target")
         "u is not null and v is not null").distinct()
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, most_rounds: int = 10000) -> DataFrame:
+def shortest_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Length and edge ids of the shortest path for each distinct (source, target).
 
     All sources advance together. Each round extends only the nodes that came closer in
@@ -55,7 +55,7 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, most_rounds: int = 10000)
     start = pairs.select("source").distinct().join(known, "source", "left_semi")
     way = F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("hops"), F.array().cast("array<bigint>").alias("path"))
     state = cut_lineage(start.select("source", F.col("source").alias("node"), way.alias("way"), F.lit(True).alias("new")))
-    for _ in range(most_rounds):
+    while True:
         step = state.filter("new").join(arcs, F.col("node") == F.col("a")).select(
             "source", F.col("b").alias("node"), F.struct(
                 (F.col("way.d") + F.col("length")).alias("d"), (F.col("way.hops") + 1).alias("hops"),
@@ -147,7 +147,7 @@ def obstacles_to_edges(works: DataFrame, edges: DataFrame) -> DataFrame:
         "obstacle_id", "edge_id", "u", "v", "length", "priority", "from_time", "to_time")
 
 
-def connected_groups(links: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def connected_groups(links: DataFrame) -> DataFrame:
     """Component label (its smallest node) per node of links (a, b); a node may link to itself.
 
     Each round a node takes the smallest label around it, and then the label of
@@ -155,7 +155,7 @@ def connected_groups(links: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """
     arcs = cut_lineage(links.select("a", "b").union(links.select("b", "a")).distinct())
     state = cut_lineage(arcs.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
-    for _ in range(most_rounds):
+    while True:
         around = arcs.join(state, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
         lower = state.join(around, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("mid"))
         hop = state.select(F.col("node").alias("mid"), F.col("label").alias("far"))
@@ -191,10 +191,10 @@ def _degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def prune_dead_ends(edges: DataFrame, typed: DataFrame, most_rounds: int = 100000) -> DataFrame:
+def prune_dead_ends(edges: DataFrame, typed: DataFrame) -> DataFrame:
     """Remove untyped nodes with fewer than two edges, again and again until none is left."""
     current = cut_lineage(edges)
-    for _ in range(most_rounds):
+    while True:
         dead = cut_lineage(_degrees(current).filter("degree < 2").join(typed, "node", "left_anti").select("node"))
         if dead.isEmpty():
             break
@@ -228,11 +228,13 @@ def construction_edges(edges: DataFrame, closed: DataFrame) -> DataFrame:
     return edges.join(either, ["u", "v"], "left_semi")
 
 
-def reachability_waves(seeds: DataFrame, links: DataFrame, most_rounds: int = 100000) -> DataFrame:
+def reachability_waves(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """Nodes reachable from the seeds over links (a, b), with the round they were first met in."""
     links = cut_lineage(links.select("a", "b").distinct())
     seen = cut_lineage(seeds.select("node").distinct().withColumn("wave", F.lit(0)))
-    for wave in range(1, most_rounds + 1):
+    wave = 0
+    while True:
+        wave += 1
         last = seen.filter(F.col("wave") == wave - 1)
         new = last.join(links, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
         new = cut_lineage(new.withColumn("wave", F.lit(wave)))
