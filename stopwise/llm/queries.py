@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stopwise.llm import contamination, neighbours, packing, pages, quality, sharding, toxicity
+from stopwise.llm import contamination, jaccard, neighbours, packing, pages, quality, sharding, toxicity
 
 QUERIES = {f.__name__: f for f in (
     pages.op1_nearest_url_differencing,
@@ -12,6 +12,7 @@ QUERIES = {f.__name__: f for f in (
     contamination.op5_containment_search,
     toxicity.op6_noisy_channel_toxicity,
     quality.op9_neighbour_voting,
+    jaccard.op10_bayesian_jaccard_join,
 )}
 
 ORACLES: dict[str, str] = {}
