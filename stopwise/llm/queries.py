@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from stopwise.llm import contamination, jaccard, neighbours, packing, pages, quality, sharding, toxicity
+from stopwise.llm import contamination, jaccard, neighbours, packing, pages, quality, sharding, substrings, toxicity
 
 QUERIES = {f.__name__: f for f in (
     pages.op1_nearest_url_differencing,
     packing.op2_best_fit_packing,
     neighbours.op4_adaptive_dimension_scan,
+    substrings.op7_deep_shallow_dedup,
     sharding.op8_rendezvous_sharding,
     contamination.op5_containment_search,
     toxicity.op6_noisy_channel_toxicity,
