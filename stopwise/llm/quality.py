@@ -163,23 +163,20 @@ def fitted(docs: DataFrame, labels: DataFrame, train: Column, rows: int = LABELL
     return fit(data["text"].tolist(), data["label"].to_numpy())
 
 
-def scored(docs: DataFrame, space: Space, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of docs with ``score``; a column of that name is replaced."""
+def scored(docs: DataFrame, space: Space) -> DataFrame:
+    """All columns of docs and ``score``; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(space)
-    rows = docs.select(*[c for c in keep if c != "score"], F.coalesce("text", F.lit("")).alias("_text"))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch.pop("_text").tolist()
-            yield batch.assign(score=shared.value.score(texts))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(shared.value.score(texts.tolist()))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInPandas(score, f"{kinds}, score double")
+    return docs.withColumn("score", F.pandas_udf(score, "double")(F.coalesce("text", F.lit(""))))
 
 
 def op9_neighbour_voting(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     space = fitted(docs, labels, remainder(F.col("doc_id"), 5) != 0)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return scored(rows, space, ["doc_id"]).select(
+    return scored(rows, space).select(
         "doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

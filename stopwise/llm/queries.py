@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stopwise.llm import contamination, jaccard, neighbours, packing, pages, quality, sharding, substrings, toxicity
+from stopwise.llm import contamination, jaccard, lines, neighbours, packing, pages, quality, sharding, substrings, toxicity
 
 QUERIES = {f.__name__: f for f in (
     pages.op1_nearest_url_differencing,
     packing.op2_best_fit_packing,
+    lines.op3_fuzzy_lines,
     neighbours.op4_adaptive_dimension_scan,
     substrings.op7_deep_shallow_dedup,
     sharding.op8_rendezvous_sharding,
