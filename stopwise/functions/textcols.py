@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # fixed values: patterns and separators of the feeds
 STOP_ID_PATTERN = r"^(-?[0-9]+)-([0-9]+)-([0-9]+)$"
 CODE_PATTERN = r".*\(([A-Z\s]+)\)"
-UNKNOWN_CODE = "LASJVLKEWLSK"
 ATTRIBUTE_PATTERN = r'([a-z-]+)="([^"]*)"'
 
 
@@ -23,9 +22,9 @@ def split_stop_id(stop_id: Column) -> dict[str, Column]:
     return {"dayly_id": part(1).cast("bigint"), "date_text": part(2), "stop_id": part(3).cast("int")}
 
 
-def extract_code(name: Column, missing: str = UNKNOWN_CODE) -> Column:
-    found = F.nullif(F.regexp_extract(name, CODE_PATTERN, 1), F.lit(""))
-    return F.coalesce(found, F.lit(missing))
+def extract_code(name: Column) -> Column:
+    """The code in brackets at the end of a name; null where there is none."""
+    return F.nullif(F.regexp_extract(name, CODE_PATTERN, 1), F.lit(""))
 
 
 def normalize_name(name: Column) -> Column:

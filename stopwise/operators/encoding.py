@@ -9,7 +9,6 @@ from stopwise.operators.numbering import global_row_number
 from stopwise.session import cut_lineage
 
 UNKNOWN = -1
-BROADCAST_ROWS = 500_000
 
 
 def build_encoders(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -30,14 +29,11 @@ def build_encoders(rows: DataFrame, columns: list[str]) -> DataFrame:
 def encode(rows: DataFrame, encoders: DataFrame, columns: list[str], suffix: str = "_code") -> DataFrame:
     """Adds the code of each column; null and unknown values give -1.
 
-    A dictionary is broadcast when its counted size is small, so that the rows are not
-    shuffled; a larger one is joined by key.
+    Whether a dictionary is broadcast is left to Spark's threshold on its bytes.
     """
-    sizes = {r["name"]: r["n"] for r in encoders.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per column
     for column in columns:
         codes = encoders.filter((F.col("name") == column) & F.col("value").isNotNull()).select(
             F.col("value").alias(column), F.col("code").alias(f"{column}{suffix}"))
-        codes = F.broadcast(codes) if sizes.get(column, 0) <= BROADCAST_ROWS else codes
         rows = rows.join(codes, column, "left")
         rows = rows.withColumn(f"{column}{suffix}", F.coalesce(f"{column}{suffix}", F.lit(UNKNOWN)).cast("int"))
     return rows

@@ -35,8 +35,19 @@ def running_sums(rows: DataFrame, order: list[Column], sums: dict[str, Column],
 
 
 def global_row_number(rows: DataFrame, order: list[Column], name: str = "row_number") -> DataFrame:
-    """1-based position of each row in a unique order."""
-    return running_sums(rows, order, {name: F.lit(1).cast("bigint")})
+    """1-based position of each row in a unique order, with one shuffle.
+
+    The rows are range-partitioned and sorted; a row's position in its slice is in the lower bits of its
+    monotonic id, and the slice in the upper ones.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = cut_lineage(placed).withColumn("_slice", F.shiftright("_id", 33))
+    before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)  # one row per slice
+    counts = placed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    joined = placed.join(F.broadcast(offsets), "_slice")  # as many rows as slices
+    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return joined.select(*rows.columns, (F.col("_before") + inside + 1).alias(name))
 
 
 def fixed_batches(rows: DataFrame, order: list[Column], size: int) -> DataFrame:

@@ -11,6 +11,9 @@ from stopwise.functions.geo import EARTH_RADIUS_M, METRES_PER_DEGREE, distance_m
 from stopwise.session import cut_lineage
 
 
+GLOBE_DEGREES = 360.0
+
+
 def cell(value: Column, size: float) -> Column:
     return F.floor(value / F.lit(size)).cast("bigint")
 
@@ -21,23 +24,23 @@ def around(value: Column, size: float) -> Column:
     return F.explode(F.sequence(middle - 1, middle + 1))
 
 
-def nearest_point(places: DataFrame, nodes: DataFrame, node_key: str, size: float = 0.05,
-                  levels: int = 12) -> DataFrame:
+def nearest_point(places: DataFrame, nodes: DataFrame, node_key: str, size: float = 0.05) -> DataFrame:
     """The nearest node for each place, with its distance in metres.
 
     A place looks in its own grid cell and the eight around it. What lies outside is
     further away than one cell, so a node found within that distance is the
-    nearest one. Places without such a node look again in cells twice as wide;
-    after ``levels`` doublings the cells span the globe. Places and nodes with equal
+    nearest one. Places without such a node look again in cells twice as wide, until
+    the cells span the globe, whatever ``size`` they began with. Places and nodes with equal
     coordinates are looked at once. Coordinates must not be null; longitudes do not wrap at 180 degrees.
     """
     nodes = nodes.groupBy(F.col("lat").alias("_nlat"), F.col("lon").alias("_nlon")).agg(F.min(node_key).alias("_node"))
     open_places = places.select(F.col("lat").alias("_plat"), F.col("lon").alias("_plon")).distinct()
     spot = ["_plat", "_plon"]
     found = None
-    for level in range(levels + 1):
-        width = size * 2 ** level
-        last = level == levels
+    width = size / 2
+    while True:
+        width *= 2
+        last = width >= GLOBE_DEGREES  # a cell and its neighbours hold every node
         probes = open_places.withColumn("_cy", around(F.col("_plat"), width)).withColumn("_cx", around(F.col("_plon"), width))
         placed = nodes.withColumns({"_cy": cell(F.col("_nlat"), width), "_cx": cell(F.col("_nlon"), width)})
         gap = distance_m(F.col("_plat"), F.col("_plon"), F.col("_nlat"), F.col("_nlon"))

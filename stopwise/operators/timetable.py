@@ -1,6 +1,6 @@
 """Timetable statistics on stop times (GTFS shape).
 
-``stop_times``: trip_id, seq (0, 1, 2, ... in a trip), stop, lat, lon, at, route. Distances are
+``stop_times``: trip_id, seq (rising in a trip, gaps allowed), stop, lat, lon, at, route. Distances are
 whole millimetres while they are summed, so sums do not depend on their order.
 """
 
@@ -21,14 +21,17 @@ CHUNK = 1000  # stops of a trip that are ordered together
 def legs(stop_times: DataFrame) -> DataFrame:
     """Each stop with the one before it on its trip.
 
-    Trips are cut into chunks of CHUNK stops, so a window never holds more than that;
-    the last stop of a chunk is repeated as the predecessor of the next one.
+    Trips are cut into chunks of CHUNK numbers, so a window never holds more stops than that;
+    the first stop of a chunk follows the last one of the chunk before, however far that is.
     """
-    own = F.floor(F.col("seq") / CHUNK)
-    both = F.array_compact(F.array(own, F.when(F.col("seq") % CHUNK == CHUNK - 1, own + 1)))
+    rows = stop_times.withColumn("_chunk", F.floor(F.col("seq") / CHUNK))
+    carried = ("lat", "lon", "at")
+    ends = rows.groupBy("trip_id", "_chunk").agg(F.max_by(F.struct(*carried), "seq").alias("_end"))
+    ends = ends.withColumn("_end", F.lag("_end").over(W.partitionBy("trip_id").orderBy("_chunk")))  # one row per chunk
     ordered = W.partitionBy("trip_id", "_chunk").orderBy("seq")
-    rows = stop_times.withColumn("_chunk", F.explode(both))
-    rows = rows.withColumns({f"{c}0": F.lag(c).over(ordered) for c in ("lat", "lon", "at")}).filter(own == F.col("_chunk"))
+    rows = rows.withColumns({"_n": F.row_number().over(ordered), "_last": F.lag(F.struct(*carried)).over(ordered)}).join(ends, ["trip_id", "_chunk"])
+    before = F.when(F.col("_n") == 1, F.col("_end")).otherwise(F.col("_last"))
+    rows = rows.withColumns({f"{c}0": before[c] for c in carried}).drop("_n", "_last", "_end")
     length = F.round(distance_m(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")) * 1000).cast("bigint")
     return rows.withColumn("leg_mm", F.coalesce(length, F.lit(0)))
 

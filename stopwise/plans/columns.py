@@ -196,8 +196,8 @@ def _(t):
 
 
 @query("extract_code", r"""
-SELECT ds100, coalesce(nullif(regexp_extract(name, '.*\(([A-Z\s]+)\)', 1), ''), 'LASJVLKEWLSK') AS code,
-  coalesce(nullif(regexp_extract(ds100, '.*\(([A-Z\s]+)\)', 1), ''), 'LASJVLKEWLSK') AS no_code FROM points""", views="points")
+SELECT ds100, nullif(regexp_extract(name, '.*\(([A-Z\s]+)\)', 1), '') AS code,
+  nullif(regexp_extract(ds100, '.*\(([A-Z\s]+)\)', 1), '') AS no_code FROM points""", views="points")
 def _(t):
     return t.points.select("ds100", textcols.extract_code(F.col("name")).alias("code"), textcols.extract_code(F.col("ds100")).alias("no_code"))
 

@@ -89,41 +89,43 @@ def _(t):
 
 
 @query("freshness_alert", """
+WITH c AS (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY 1)
 SELECT hour, n, printf('%d plans in the hour from %s, expected at least 14', n, strftime(hour, '%Y-%m-%d %H:%M')) AS alert
-FROM (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY 1) WHERE n < 14""")
+FROM (SELECT h.hour, coalesce(c.n, 0) AS n FROM (SELECT unnest(generate_series(min(hour), max(hour), INTERVAL '1' HOUR)) AS hour FROM c) h LEFT JOIN c USING (hour)) WHERE n < 14""")
 def _(t):
     return feeds.freshness_alert(feeds.hourly_counts(t.events), 14, "plans")
 
 
 @query("freshness_alert_stream", """
-SELECT hour, n FROM (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY 1) WHERE n < 14
-  AND hour < (SELECT date_trunc('hour', max(ts) - INTERVAL '2' HOUR) FROM events)""")
+WITH c AS (SELECT * FROM (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY 1)
+  WHERE hour < (SELECT date_trunc('hour', max(ts) - INTERVAL '2' HOUR) FROM events))
+SELECT hour, n FROM (SELECT h.hour, coalesce(c.n, 0) AS n FROM (SELECT unnest(generate_series(min(hour), max(hour), INTERVAL '1' HOUR)) AS hour FROM c) h LEFT JOIN c USING (hour)) WHERE n < 14""")
 def _(t):
     path = fresh_path(t.spark, "ticks")
     t.events.select("ts").repartitionByRange(4, "ts").write.parquet(path)
     feed = feeds.read_feed(t.spark, path, "ts timestamp_ntz")
-    alerts = feeds.freshness_alert(feeds.hourly_counts(feed, late="2 hours"), 14, "plans").select("hour", "n")
-    target = fresh_path(t.spark, "alerts")
-    alerts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", fresh_path(t.spark, "offsets")) \
+    target = fresh_path(t.spark, "hourly_counts")
+    feeds.hourly_counts(feed, late="2 hours").writeStream.outputMode("append").format("parquet").option("checkpointLocation", fresh_path(t.spark, "offsets")) \
         .trigger(availableNow=True).start(target).awaitTermination()
-    return t.spark.read.schema("hour timestamp_ntz, n bigint").parquet(target)
+    closed = t.spark.read.schema("hour timestamp_ntz, n bigint").parquet(target)
+    return feeds.freshness_alert(closed, 14, "plans").select("hour", "n")
 
 
 @query("scd2_update", """
-WITH cur AS (SELECT eva, name, ds100, coalesce(valid_from, TIMESTAMP '0001-01-01') AS valid_from, coalesce(valid_to, TIMESTAMP '9999-12-31') AS valid_to, 'p' AS platforms, FALSE AS db, TRUE AS iris FROM stations),
+WITH cur AS (SELECT eva, name, ds100, coalesce(valid_from, TIMESTAMP '0001-01-01') AS valid_from, coalesce(valid_to, TIMESTAMP '9999-12-31') AS valid_to, 'p' AS platforms, FALSE AS db, TRUE AS iris, lat, lon FROM stations),
 inc AS (SELECT 8000000 + c_custkey * 2 AS eva, 'S' || CAST(c_custkey * 2 AS VARCHAR) || CASE WHEN c_custkey % 5 = 0 THEN ' Neu' ELSE '' END AS name,
    'D' || CAST(c_custkey * 2 AS VARCHAR) || CASE WHEN c_custkey * 2 % 3 = 1 THEN 'X' ELSE '' END AS ds100,
    TIMESTAMP '2023-06-01 00:00:00' + INTERVAL '1' DAY * CAST(c_custkey % 300 AS INT) AS created, 'q' AS platforms, TRUE AS db FROM customer),
 m AS (SELECT *, max(valid_from) OVER (PARTITION BY eva) AS latest, count(*) OVER (PARTITION BY eva) AS versions FROM cur),
 j AS (SELECT m.*, i.name AS iname, i.ds100 AS ids100, i.created, i.eva IS NOT NULL AS found, i.name IS NOT DISTINCT FROM m.name AND i.ds100 IS NOT DISTINCT FROM m.ds100 AS same FROM m LEFT JOIN inc i ON i.eva = m.eva WHERE valid_from = latest)
-SELECT eva, name, ds100, valid_from, valid_to, platforms, db, iris FROM m WHERE valid_from < latest
+SELECT eva, name, ds100, valid_from, valid_to, platforms, db, iris, lat, lon FROM m WHERE valid_from < latest
 UNION ALL SELECT eva, name, ds100, CASE WHEN found AND versions = 1 AND created > valid_from THEN created ELSE valid_from END,
-  CASE WHEN found AND same THEN valid_to ELSE TIMESTAMP '2024-02-01' END, CASE WHEN found AND same THEN 'q' ELSE platforms END,
-  CASE WHEN found AND same THEN TRUE ELSE db END, CASE WHEN NOT found THEN FALSE ELSE iris END FROM j
-UNION ALL SELECT eva, iname, ids100, TIMESTAMP '2024-02-01', TIMESTAMP '9999-12-31', 'q', TRUE, TRUE FROM j WHERE found AND NOT same
-UNION ALL SELECT eva, name, ds100, created, TIMESTAMP '9999-12-31', 'q', TRUE, TRUE FROM inc WHERE eva NOT IN (SELECT eva FROM cur)""", views="stations")
+  CASE WHEN found AND same OR valid_to <= TIMESTAMP '2024-02-01' THEN valid_to ELSE TIMESTAMP '2024-02-01' END, CASE WHEN found AND same THEN 'q' ELSE platforms END,
+  CASE WHEN found AND same THEN TRUE ELSE db END, CASE WHEN NOT found THEN FALSE ELSE iris END, lat, lon FROM j
+UNION ALL SELECT eva, iname, ids100, TIMESTAMP '2024-02-01', TIMESTAMP '9999-12-31', 'q', TRUE, TRUE, lat, lon FROM j WHERE found AND NOT same
+UNION ALL SELECT eva, name, ds100, created, TIMESTAMP '9999-12-31', 'q', TRUE, TRUE, NULL, NULL FROM inc WHERE eva NOT IN (SELECT eva FROM cur)""", views="stations")
 def _(t):
-    current = t.stations.select("eva", "name", "ds100", "valid_from", "valid_to", F.lit("p").alias("platforms"), F.lit(False).alias("db"), F.lit(True).alias("iris"))
+    current = t.stations.select("eva", "name", "ds100", "valid_from", "valid_to", F.lit("p").alias("platforms"), F.lit(False).alias("db"), F.lit(True).alias("iris"), "lat", "lon")
     k = F.col("c_custkey") * 2
     incoming = t.customer.select(
         (8000000 + k).alias("eva"), F.concat(F.lit("S"), k.cast("string"), F.when(F.col("c_custkey") % 5 == 0, " Neu").otherwise("")).alias("name"),

@@ -206,7 +206,7 @@ def _(t):
 
 @query("other_classifiers")
 def _(t):
-    return models.compare_classifiers(*_halves(t), COLUMNS)
+    return models.compare_classifiers(*_halves(t), COLUMNS, trees=20, iterations=30)
 
 
 @query("rolling_backtest")

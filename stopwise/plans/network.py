@@ -113,14 +113,15 @@ def _edge_works(t, edges):
 
 
 @query("obstacles_on_path", "WITH " + NUMBERED + ", " + EDGE_WORKS + """,
-uses AS (SELECT hash_id, ar_pt, unnest([hash_id % 4000, hash_id * 7 % 4000, hash_id % 4000]) AS edge_id FROM stops WHERE ar_pt IS NOT NULL),
+uses AS (SELECT hash_id, ar_pt, unnest([hash_id % m, hash_id * 7 % m, hash_id % m]) AS edge_id FROM stops, (SELECT count(*) AS m FROM e) WHERE ar_pt IS NOT NULL),
 hits AS (SELECT hash_id, priority, length FROM uses JOIN obs ON obs.edge_id = uses.edge_id AND from_time <= ar_pt AND ar_pt <= to_time)
 SELECT s.hash_id, """ + ", ".join(f"coalesce(sum(length) FILTER (WHERE priority = {p}), 0) AS priority_{p}" for p in ranges.PRIORITIES) + """
 FROM stops s LEFT JOIN hits USING (hash_id) GROUP BY s.hash_id""", views="stops edges works")
 def _(t):
-    k = F.col("hash_id")
-    paths = t.stops.select("hash_id", "ar_pt", F.array(k % 4000, k * 7 % 4000, k % 4000).alias("path"))
-    return ranges.obstacles_on_path(paths, _edge_works(t, _numbered(t)), "hash_id", "path", "ar_pt").drop("path", "ar_pt")
+    edges = _numbered(t)
+    k, m = F.col("hash_id"), edges.agg(F.count(F.lit(1))).scalar()
+    paths = t.stops.select("hash_id", "ar_pt", F.array(k % m, k * 7 % m, k % m).alias("path"))
+    return ranges.obstacles_on_path(paths, _edge_works(t, edges), "hash_id", "path", "ar_pt").drop("path", "ar_pt")
 
 
 @query("route_features", "WITH " + NEWEST + """, paths AS (SELECT hash_id, station, ar_pt, dp_pt, 'S' || n AS s1, 'S' || CAST(stop_id AS VARCHAR) AS s2 FROM stops),

@@ -10,11 +10,19 @@ from stopwise.session import fresh_path
 
 
 def publish_table(df: DataFrame, name: str) -> DataFrame:
-    """Replace table ``name``. Rows go to a new folder first, then the catalog entry moves."""
+    """Replace table ``name``. Rows go to a new folder first, then the catalog entry moves there in one step.
+
+    Only a table with other columns is made anew. The former folder stays for readers that still use it.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    if spark.catalog.tableExists(name):
+        if [f.jsonValue()["type"] for f in spark.table(name).schema] == [f.jsonValue()["type"] for f in df.schema] and spark.table(name).columns == df.columns:
+            spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+            spark.catalog.refreshTable(name)
+            return spark.table(name)
+        spark.sql(f"DROP TABLE {name}")
     return spark.catalog.createTable(name, path=path, source="parquet")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stopwise.operators.clean import with_delays
 from stopwise.session import fresh_path
@@ -13,7 +14,7 @@ from stopwise.sources.stand_ins import render
 BASE = ("region nation customer supplier part orders lineitem events documents "
         "embeddings pages benchmark labels conversations").split()
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple, str] = {}
 
 
 class Tables:
@@ -22,6 +23,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._files: tuple | None = None
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -31,18 +33,22 @@ class Tables:
                               **{needs: self.base(needs)})
 
     def stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """A frame written to the shared folder once per application, as a feed or a nightly refresh would.
-
-        Inputs with fewer splits than cores are spread over files, so that later scans use all cores.
-        """
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        """A frame written to the shared folder once per application and state of the input files, as a feed or
+        a nightly refresh would. Spark spreads the rows over files of even size."""
+        key = (self.spark.sparkContext.applicationId, self.folder, self.files(), name)
         if key not in _STORED:
             path = fresh_path(self.spark, name)
-            made, cores = make(), self.spark.sparkContext.defaultParallelism
-            (made.repartition(cores) if made.rdd.getNumPartitions() < cores else made).write.parquet(path)
+            make().hint("rebalance").write.parquet(path)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 
+    def files(self) -> tuple:
+        """Number, size and latest change of the input files; only the listing is read."""
+        if self._files is None:
+            listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.folder)
+            self._files = tuple(listed.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime").cast("string")).first())
+        return self._files
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
             return self.base(name)

@@ -8,6 +8,7 @@ rewritten. Readers take the newest batch per key; ``compact`` folds the log now
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,8 +95,17 @@ PLAN_PER_HOUR = 500
 CHANGE_PER_HOUR = 1000
 
 
-def freshness_alert(counts: DataFrame, threshold: int, what: str) -> DataFrame:
-    """Hours with too few rows, with a text for people."""
+def every_hour(counts: DataFrame, as_of: dt.datetime | None = None) -> DataFrame:
+    """Counts of all hours from the first one to ``as_of`` (or the last one), 0 where no row came."""
+    end = F.max("hour") if as_of is None else F.date_trunc("hour", F.lit(as_of)).cast("timestamp_ntz")
+    bounds = counts.agg(F.min("hour").alias("first"), end.alias("last")).filter("first <= last")
+    hours = bounds.select(F.explode(F.expr("sequence(first, last, interval 1 hour)")).alias("hour"))
+    return hours.join(counts, "hour", "left").select("hour", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+
+
+def freshness_alert(counts: DataFrame, threshold: int, what: str, as_of: dt.datetime | None = None) -> DataFrame:
+    """Hours with too few rows, silent ones too, with a text for people. Of a stream, its written counts are read here."""
+    counts = every_hour(counts, as_of)
     text = F.format_string(f"%d {what} in the hour from %s, expected at least {threshold}", F.col("n"),
                            F.date_format("hour", "yyyy-MM-dd HH:mm"))
     return counts.filter(F.col("n") < threshold).select("hour", "n", text.alias("alert"))
