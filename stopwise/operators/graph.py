@@ -45,8 +45,9 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Length and edge ids of the shortest path for each distinct (source, target).
 
     All sources advance together. Each round extends only the nodes that came closer in
-    the round before and keeps the best way per (source, node); it ends when nothing
-    improves. Equal lengths are decided by fewer edges, then by the edge ids.
+    the round before and keeps the best way per (source, node). Nodes further away than the
+    furthest target of their source, once all its targets are reached, go no further; it ends when
+    nothing improves. Lengths must not be negative. Equal lengths are decided by fewer edges, then by the edge ids.
     Unreachable pairs and unknown names get nulls.
     """
     arcs = cut_lineage(both_ways(edges).filter("a <> b"))
@@ -56,19 +57,26 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     way = F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("hops"), F.array().cast("array<bigint>").alias("path"))
     state = cut_lineage(start.select("source", F.col("source").alias("node"), way.alias("way"), F.lit(True).alias("new")))
     while True:
-        step = state.filter("new").join(arcs, F.col("node") == F.col("a")).select(
+        step = _within_reach(state, pairs).join(arcs, F.col("node") == F.col("a")).select(
             "source", F.col("b").alias("node"), F.struct(
                 (F.col("way.d") + F.col("length")).alias("d"), (F.col("way.hops") + 1).alias("hops"),
                 F.concat("way.path", F.array(F.col("edge_id").cast("bigint"))).alias("path")).alias("way"))
         offers = state.select("source", "node", "way", F.col("way").alias("old")).unionByName(step, allowMissingColumns=True)
         best = offers.groupBy("source", "node").agg(F.min("way").alias("way"), F.min("old").alias("old"))
         state = cut_lineage(best.select("source", "node", "way", (F.col("old").isNull() | (F.col("way") < F.col("old"))).alias("new")))
-        if state.filter("new").isEmpty():
+        if _within_reach(state, pairs).isEmpty():
             break
     ends = state.select("source", F.col("node").alias("target"), F.col("way.d").alias("distance"), F.col("way.path").alias("path"))
     return pairs.join(ends, ["source", "target"], "left")
 
 
+def _within_reach(state: DataFrame, pairs: DataFrame) -> DataFrame:
+    """New nodes of the state that can still be on a best way to a target of their source."""
+    reached = state.select("source", F.col("node").alias("target"), F.col("way.d").alias("_d"))
+    furthest = pairs.join(reached, ["source", "target"], "left").groupBy("source").agg(F.max(F.coalesce("_d", F.lit(float("inf")))).alias("_furthest"))
+    return state.filter("new").join(furthest, "source").filter(F.col("way.d") <= F.col("_furthest")).drop("_furthest")
+
+
 def refresh_path_cache(cache: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Cache of (u, v, distance, path) by unordered pair; only missing pairs are computed."""
     missing = unordered(pairs).join(cache, ["u", "v"], "left_anti")

@@ -12,20 +12,23 @@ def point_in_interval_join(intervals: DataFrame, points: DataFrame, keys: list[s
                            point: Column, width: int, how: str = "inner") -> DataFrame:
     """Pairs with equal ``keys`` and ``low <= point <= high`` (numbers).
 
-    Intervals are repeated for every bucket of ``width`` they touch and points lie in
-    exactly one bucket, so each pair is found once. The bucket splits a hot key
-    by its range, and AQE splits what is still too large. Column names of both
-    sides must differ except for ``keys``.
+    Each interval has a level: buckets of ``width`` are doubled until one is as long as the
+    interval, so it touches at most two of them however long it is. A point lies in one bucket
+    of each level in use (at most one level per doubling), so each pair is found once. The
+    bucket splits a hot key by its range, and AQE splits what is still too large. Column names
+    of both sides must differ except for ``keys``.
     """
     if how not in ("inner", "left_semi"):
         raise ValueError("only inner and left_semi keep pairs unique")
-    bucket = lambda value: F.floor(value / width).cast("bigint")
+    bucket = lambda value: F.floor(value / (F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_level")))).cast("bigint")
     left = intervals.withColumns({"_low": low, "_high": high}).filter("_low <= _high")
+    left = left.withColumn("_level", F.ceil(F.log2(F.greatest((F.col("_high") - F.col("_low")) / width, F.lit(1.0)))).cast("int"))
+    levels = left.agg(F.collect_set("_level")).scalar()
     left = left.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_low")), bucket(F.col("_high")))))
-    right = points.withColumn("_point", point).withColumn("_bucket", bucket(F.col("_point")))
-    joined = left.join(right, [*keys, "_bucket"], "inner")
+    right = points.withColumn("_point", point).withColumn("_level", F.explode(levels)).withColumn("_bucket", bucket(F.col("_point")))
+    joined = left.join(right, [*keys, "_level", "_bucket"], "inner")
     return joined.filter((F.col("_low") <= F.col("_point")) & (F.col("_point") <= F.col("_high"))).drop(
-        "_low", "_high", "_bucket", "_point")
+        "_low", "_high", "_level", "_bucket", "_point")
 
 
 def connecting_trains(stops: DataFrame, columns: list[str], least: int = 2, most: int = 10, key: str = "hash_id") -> DataFrame:

@@ -331,6 +331,41 @@ def test_distances_across_chunks(spark, monkeypatch):
     assert len(got) == 14 and all(abs(d - seq * step) < 0.02 for (_, seq), d in got.items())
 
 
+def test_gaps_in_the_sequence_lose_no_leg(spark):
+    rows = [(1, i * 10, 48.0 + i * 0.01, 9.0, D(2024, 1, 1)) for i in range(200)] + [(2, 5, 48.0, 9.0, D(2024, 1, 1)), (2, 7005, 48.01, 9.0, D(2024, 1, 1))]
+    frame = spark.createDataFrame(rows, "trip_id long, seq int, lat double, lon double, at timestamp_ntz").withColumn("route", F.lit("r"))
+    got = {r.trip_id: r.distance_m for r in timetable.trip_stats(frame).collect()}
+    assert abs(got[1] - 199 * got[2]) < 1
+
+
+def test_a_far_node_is_found_from_small_cells(spark):
+    places = spark.createDataFrame([("p", 48.0, 9.0)], "place string, lat double, lon double")
+    nodes = spark.createDataFrame([("near", 56.3, 9.0), ("far", 48.0, 26.0)], "node string, lat double, lon double")
+    assert spatial.nearest_point(places, nodes, "node", size=0.001).first().nearest == "near"
+
+
+def test_a_long_chain_is_one_group(spark):
+    links = spark.range(1500).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.label for r in graph.connected_groups(links).collect()} == {0}
+
+
+def test_an_adjacent_pair_needs_few_rounds(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, f"n{i:03}", f"n{i + 1:03}", 1.0) for i in range(60)], "edge_id int, u string, v string, length double")
+    rounds = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, real=graph.cut_lineage: rounds.append(1) or real(df))
+    got = graph.shortest_paths(spark.createDataFrame([("n010", "n011")], "source string, target string"), edges).first()
+    assert got.distance == 1.0 and list(got.path) == [10] and len(rounds) < 8
+
+
+def test_an_open_end_makes_few_rows(spark):
+    from stopwise.operators import ranges
+
+    works = spark.createDataFrame([(1, D(2024, 1, 1), D(9999, 12, 31)), (1, D(2024, 1, 1), D(2024, 1, 1, 1))], "edge_id int, from_time timestamp_ntz, to_time timestamp_ntz").withColumn("w", F.monotonically_increasing_id())
+    uses = spark.createDataFrame([(1, D(2024, 1, 1, 0, 30)), (1, D(2500, 1, 1)), (1, D(2023, 1, 1))], "edge_id int, at timestamp_ntz")
+    found = ranges.obstacles_on_edges(uses, works, "at")
+    assert sorted(r.at.year for r in found.collect()) == [2024, 2024, 2500]
+
+
 # --- nested ----------------------------------------------------------------------------
 
 
@@ -368,9 +403,54 @@ def test_history_actions(spark):
                     (3, "Gone", 1, 2024, "1", False), (4, "Fresh", 2022, 9999, "2", True)}
 
 
+def test_closed_stations_stay_closed_and_keep_their_place(spark):
+    kind = ("eva long, name string, ds100 string, valid_from timestamp_ntz, valid_to timestamp_ntz, platforms string, db boolean, iris boolean, "
+            "lat double, lon double, number_of_events long, meta array<long>")
+    current = spark.createDataFrame([(1, "Closed", "C", D(2000, 1, 1), D(2021, 1, 1), "1", False, False, 48.0, 9.0, 7, [5]),
+                                     (2, "Old", "O", None, None, "1", False, True, 50.0, 8.0, 3, [1])], kind)
+    incoming = spark.createDataFrame([(2, "New", "O", D(2020, 1, 1), "2", True, [1, 9])],
+                                     "eva long, name string, ds100 string, created timestamp_ntz, platforms string, db boolean, meta array<long>")
+    rows = {(r.name, r.valid_to.year, r.lat, r.number_of_events, tuple(r.meta)) for r in history.scd2_update(current, incoming, D(2024, 1, 1)).collect()}
+    assert rows == {("Closed", 2021, 48.0, 7, (5,)), ("Old", 2024, 50.0, 3, (1,)), ("New", 9999, 50.0, 3, (1, 9))}
+
+
+def test_silent_hours_alert(spark):
+    ticks = spark.createDataFrame([(D(2024, 1, 1, 0, 5),), (D(2024, 1, 1, 3, 5),)], "ts timestamp_ntz")
+    counts = feeds.hourly_counts(ticks)
+    assert {(r.hour.hour, r.n) for r in feeds.freshness_alert(counts, 1, "plans").collect()} == {(1, 0), (2, 0)}
+    later = feeds.freshness_alert(counts, 1, "plans", D(2024, 1, 1, 5, 30))
+    assert {r.hour.hour for r in later.collect()} == {1, 2, 4, 5}
+    assert feeds.freshness_alert(counts.limit(0), 1, "plans").count() == 0
+
+
 # --- plans -----------------------------------------------------------------------------
 
 
+def test_row_numbers_take_one_shuffle(spark):
+    numbered = numbering.global_row_number(spark.range(50).repartition(3), [F.col("id").desc()])
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert [r.row_number for r in numbered.orderBy("id").collect()] == list(range(50, 0, -1))
+    assert "hashpartitioning(id" not in plan and "rangepartitioning" not in plan  # the slices are checkpointed; only their counts move
+
+
+def test_stored_tables_follow_their_input(spark, tmp_path):
+    from stopwise.sources.tables import Tables
+
+    spark.range(3).write.parquet(f"{tmp_path}/events.parquet")
+    read = lambda: Tables(spark, str(tmp_path)).stored("copy", lambda: spark.read.parquet(f"{tmp_path}/events.parquet")).count()
+    assert read() == 3 == read()
+    spark.range(2).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    assert read() == 5
+
+
+def test_publishing_again_moves_the_table(spark):
+    published.publish_table(spark.range(3), "t_moves")
+    published.publish_table(spark.range(5), "t_moves")
+    assert spark.table("t_moves").count() == 5
+    published.publish_table(spark.range(2).withColumn("more", F.lit(1)), "t_moves")
+    assert spark.table("t_moves").columns == ["id", "more"]
+
+
 def test_filters_reach_the_scan(spark):
     path = fresh_path(spark, "stops")
     spark.createDataFrame([(1, "A", "F", D(2024, 1, 1), D(2024, 1, 1))], "hash_id long, station string, f string, ar_pt timestamp_ntz, dp_pt timestamp_ntz").write.parquet(path)
