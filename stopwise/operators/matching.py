@@ -6,44 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopwise.functions.textcols import bigrams, normalize_name
+from stopwise.session import cut_lineage
+
+
+THRESHOLDS = (0.8, 0.6, 0.4, 0.2)  # similarities asked for in turn
 
 
 def fuzzy_name_match(names: DataFrame, candidates: DataFrame, cutoff: float = 0.0) -> DataFrame:
     """The most similar candidate for each distinct name.
 
     Similarity is the Dice coefficient of the bigram sets of the normalised names.
-    Two names with a similarity above 0 share a bigram, so an equi join on bigrams
-    finds every one of them; counting the shared ones gives the exact value. With a
-    ``cutoff`` t above 0, a name only probes with as many of its rarest bigrams as
-    a partner with similarity t cannot avoid all at once.
+    Names ask with falling thresholds: for a threshold t a name only probes with as many of its
+    rarest bigrams as a partner with similarity t cannot avoid all at once, and sizes must allow t.
+    A name whose best similarity reaches t is done; only the others ask again, at last for ``cutoff``
+    (at 0 by every bigram, as similar names share one). The result does not depend on the thresholds.
     ``names`` has the column name, ``candidates`` the column candidate.
     """
     left = names.select("name").distinct().withColumn("_g", bigrams(normalize_name(F.col("name"))))
-    right = candidates.select("candidate").distinct().withColumn("_g", bigrams(normalize_name(F.col("candidate"))))
-    if cutoff > 0:
-        rarity = right.select(F.explode("_g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
-
-        def rarest(side: DataFrame, column: str) -> DataFrame:
-            # overlap >= t/2 * (|a|+|b|) and |b| >= overlap give overlap >= t/(2-t) * |a|
-            need = F.ceil(F.lit(cutoff / (2 - cutoff)) * F.size("_g") - 1e-9)
-            ordered = side.select(column, F.size("_g").alias("_size"), need.alias("_need"), F.explode("_g").alias("gram")) \
-                .join(rarity, "gram", "left").groupBy(column, "_size", "_need") \
-                .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "gram"))).alias("o"))
-            prefix = F.slice("o", 1, (F.col("_size") - F.col("_need") + 1).cast("int"))
-            return ordered.select(column, F.explode(prefix).alias("p")).select(column, F.col("p.gram").alias("gram"))
-
-        pairs = rarest(left, "name").join(rarest(right, "candidate"), "gram").select("name", "candidate").distinct()
-        pairs = pairs.join(left.withColumnRenamed("_g", "_a"), "name").join(right.withColumnRenamed("_g", "_b"), "candidate")
-        shared = F.size(F.array_intersect("_a", "_b"))
-        scored = pairs.select("name", "candidate", (2 * shared / (F.size("_a") + F.size("_b"))).alias("similarity"))
-    else:
-        grams = lambda side, column, size: side.select(column, F.size("_g").alias(size), F.explode("_g").alias("gram"))
-        shared = grams(left, "name", "_na").join(grams(right, "candidate", "_nb"), "gram").groupBy("name", "candidate").agg(
-            F.count(F.lit(1)).alias("_shared"), F.first("_na").alias("_na"), F.first("_nb").alias("_nb"))
-        scored = shared.select("name", "candidate", (2 * F.col("_shared") / (F.col("_na") + F.col("_nb"))).alias("similarity"))
-    best = scored.filter(F.col("similarity") >= cutoff).groupBy("name").agg(
-        F.min(F.struct((-F.col("similarity")).alias("s"), "candidate")).alias("b"))
-    return best.select("name", F.col("b.candidate").alias("match"), (-F.col("b.s")).alias("similarity"))
+    right = cut_lineage(candidates.select("candidate").distinct().withColumn("_g", bigrams(normalize_name(F.col("candidate")))))
+    rarity = right.select(F.explode("_g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
+    found, waiting = None, cut_lineage(left)
+    for threshold in [*[t for t in THRESHOLDS if t > cutoff], cutoff]:
+        pairs = _probed(waiting, "name", rarity, threshold).join(_probed(right, "candidate", rarity, threshold), "gram")
+        sizes_allow = 2 * F.least("name_size", "candidate_size") >= threshold * (F.col("name_size") + F.col("candidate_size")) - 1e-9
+        pairs = pairs.filter(sizes_allow).select("name", "candidate").distinct()
+        pairs = pairs.join(waiting.withColumnRenamed("_g", "_a"), "name").join(right.withColumnRenamed("_g", "_b"), "candidate")
+        scored = pairs.withColumn("similarity", 2 * F.size(F.array_intersect("_a", "_b")) / (F.size("_a") + F.size("_b")))
+        best = scored.filter(F.col("similarity") >= threshold).groupBy("name").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "candidate")).alias("b"))
+        best = cut_lineage(best.select("name", F.col("b.candidate").alias("match"), (-F.col("b.s")).alias("similarity")))
+        found = best if found is None else found.unionByName(best)
+        waiting = cut_lineage(waiting.join(best.select("name"), "name", "left_anti"))
+        if waiting.isEmpty():
+            break
+    return found
+
+
+def _probed(side: DataFrame, column: str, rarity: DataFrame, threshold: float) -> DataFrame:
+    """The rarest bigrams of each text that a partner of the threshold must share one of."""
+    # overlap >= t/2 * (|a|+|b|) and |b| >= overlap give overlap >= t/(2-t) * |a|
+    need = F.greatest(F.ceil(F.lit(threshold / (2 - threshold)) * F.size("_g") - 1e-9), F.lit(1))
+    ordered = side.select(column, F.size("_g").alias("_size"), need.alias("_need"), F.explode("_g").alias("gram")) \
+        .join(rarity, "gram", "left").groupBy(column, "_size", "_need") \
+        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "gram"))).alias("o"))
+    prefix = F.slice("o", 1, (F.col("_size") - F.col("_need") + 1).cast("int"))
+    return ordered.select(column, F.col("_size").alias(f"{column}_size"), F.explode(prefix).alias("p")).select(column, f"{column}_size", F.col("p.gram").alias("gram"))
 
 
 def best_mapping(by_text: Column, similarity: Column, by_place: Column, distance: Column, near_m: float = 5000) -> Column:
