@@ -24,7 +24,7 @@ SELECT hash_id, station, c FROM stops
 WHERE (ar_pt >= TIMESTAMP '2024-01-10' OR dp_pt >= TIMESTAMP '2024-01-10')
   AND (ar_pt < TIMESTAMP '2024-01-12' OR dp_pt < TIMESTAMP '2024-01-12')""", views="stops")
 def _(t):
-    return files.load_stops(t.stops, ["hash_id", "station", "c"], DAY10, DAY12)
+    return files.load_stops(t.stops_by_date, ["hash_id", "station", "c"], DAY10, DAY12)
 
 
 @query("scan_long_distance", "SELECT hash_id, station, f FROM stops WHERE f = 'F'", views="stops")

@@ -14,10 +14,37 @@ def read_columns(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*columns) if columns else df
 
 
+DATE_LAYOUT = ["last_date", "first_date"]
+
+
+def with_dates(stops: DataFrame) -> DataFrame:
+    """Adds first_time and last_time of arrival and departure, and their dates to partition by; null without any time."""
+    first, last = F.least("ar_pt", "dp_pt"), F.greatest("ar_pt", "dp_pt")  # both skip nulls
+    return stops.withColumns({"first_time": first, "last_time": last, "last_date": F.to_date(last), "first_date": F.to_date(first)})
+
+
+def write_by_date(stops: DataFrame, path: str) -> str:
+    """Folders by date, so that a question about some days opens only those."""
+    with_dates(stops).hint("rebalance", *DATE_LAYOUT).write.partitionBy(*DATE_LAYOUT).parquet(path)
+    return path
+
+
 def in_date_range(stops: DataFrame, min_date: dt.datetime | None = None,
                   max_date: dt.datetime | None = None) -> DataFrame:
-    """Arrival or departure on or after ``min_date``, and arrival or departure before ``max_date``."""
+    """Arrival or departure on or after ``min_date``, and arrival or departure before ``max_date``.
+
+    A table stored by date is filtered by its folders first: one of two times is late enough if the later
+    one is, and early enough if the earlier one is.
+    """
     keep: list[Column] = []
+    if set(DATE_LAYOUT) <= set(stops.columns):
+        if min_date is not None:
+            keep += [F.col("last_date") >= F.lit(min_date.date()), F.col("last_time") >= F.lit(min_date).cast("timestamp_ntz")]
+        if max_date is not None:
+            keep += [F.col("first_date") <= F.lit(max_date.date()), F.col("first_time") < F.lit(max_date).cast("timestamp_ntz")]
+        for condition in keep:
+            stops = stops.filter(condition)
+        return stops
     if min_date is not None:
         low = F.lit(min_date).cast("timestamp_ntz")
         keep.append((F.col("ar_pt") >= low) | (F.col("dp_pt") >= low))

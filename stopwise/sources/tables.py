@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stopwise.operators.clean import with_delays
 from stopwise.session import fresh_path
+from stopwise.sources.files import write_by_date
 from stopwise.sources.stand_ins import render
 
 BASE = ("region nation customer supplier part orders lineitem events documents "
@@ -32,13 +33,16 @@ class Tables:
         return self.spark.sql(render(name, "spark").replace(f"FROM {needs}", "FROM {" + needs + "}"),
                               **{needs: self.base(needs)})
 
-    def stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    def stored(self, name: str, make: Callable[[], DataFrame], write: Callable[[DataFrame, str], str] | None = None) -> DataFrame:
         """A frame written to the shared folder once per application and state of the input files, as a feed or
         a nightly refresh would. Spark spreads the rows over files of even size."""
         key = (self.spark.sparkContext.applicationId, self.folder, self.files(), name)
         if key not in _STORED:
             path = fresh_path(self.spark, name)
-            make().hint("rebalance").write.parquet(path)
+            if write:
+                write(make(), path)
+            else:
+                make().hint("rebalance").write.parquet(path)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 
@@ -59,6 +63,11 @@ class Tables:
         """The stop-event table: all events in the shape of stops, stored as Parquet."""
         return self.stored("stops", lambda: self.view("stops", "events"))
 
+    @property
+    def stops_by_date(self) -> DataFrame:
+        """The stop-event table in folders by date."""
+        return self.stored("stops_by_date", lambda: self.stops, write_by_date)
+
     @property
     def delayed(self) -> DataFrame:
         """The refreshed table: stops with platform, delays and the happened / cancelled flags."""

@@ -426,6 +426,19 @@ def test_silent_hours_alert(spark):
 # --- plans -----------------------------------------------------------------------------
 
 
+def test_dates_prune_folders(spark):
+    path = fresh_path(spark, "by_date")
+    rows = [(i, D(2024, 1, i), D(2024, 1, i, 1)) for i in range(1, 9)] + [(9, None, D(2024, 1, 4)), (10, D(2024, 1, 4), None), (11, None, None), (12, D(2024, 1, 4), D(2024, 1, 6))]
+    stops = spark.createDataFrame(rows, "hash_id int, ar_pt timestamp_ntz, dp_pt timestamp_ntz")
+    stored = spark.read.parquet(files.write_by_date(stops, path))
+    for low, high in ((D(2024, 1, 4), D(2024, 1, 5)), (D(2024, 1, 5, 0, 30), None), (None, D(2024, 1, 3))):
+        found = files.load_stops(stored, ["hash_id"], low, high)
+        assert {r.hash_id for r in found.collect()} == {r.hash_id for r in files.load_stops(stops, ["hash_id"], low, high).collect()}
+    assert stored.count() == 12
+    plan = files.load_stops(stored, ["hash_id"], D(2024, 1, 4), D(2024, 1, 5))._jdf.queryExecution().executedPlan().toString()
+    assert "last_date" in plan.split("PartitionFilters")[1] and "first_date" in plan.split("PartitionFilters")[1]
+
+
 def test_row_numbers_take_one_shuffle(spark):
     numbered = numbering.global_row_number(spark.range(50).repartition(3), [F.col("id").desc()])
     plan = numbered._jdf.queryExecution().executedPlan().toString()
