@@ -255,13 +255,14 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column) -> Scorer:
     model = log_model(corpus_trigrams(docs))
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic")).filter(train)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text <> ''")
-    first = texts.join(marks, "doc_id").groupBy(F.xxhash64("text"), F.crc32(F.encode("text", "utf-8"))).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
-    known = stored(first.select("doc_id", "toxic"), "toxic_labels")
+    hashes = texts.select("doc_id", F.xxhash64("text").alias("h1"), F.crc32(F.encode("text", "utf-8")).alias("h2"))
+    first = hashes.join(marks, "doc_id").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    known = stored(texts.join(first.select("doc_id", "toxic"), "doc_id").select("text", "toxic"), "labelled_texts")  # the one shuffle of texts
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return Scorer(model, {}, 0.0 if not bad and not good else 30.0 if bad else -30.0)
-    rows = lambda kind: texts.join(known.filter(F.col("toxic") == kind), "doc_id").select("text")
+    rows = lambda kind: known.filter(F.col("toxic") == kind).select("text")
     log_odds = lambda n, m: math.log((n + 0.5) / (bad + 1)) - math.log((m + 0.5) / (good + 1))
     often = _counts_by_feature(rows(1), model, None, ()).filter(F.col("n") >= FEWEST).orderBy(F.desc("n"), "feature").limit(CANDIDATES)
     toxic = {r["feature"]: r["n"] for r in often.collect()}  # bounded by CANDIDATES
