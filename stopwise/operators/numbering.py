@@ -86,9 +86,8 @@ def exact_samples(rows: DataFrame, key: str, sizes: DataFrame, seed: int = 0, gr
 
     Sample s is the ``size`` rows with the smallest hash of the unique ``key`` (all
     rows if there are fewer); with ``group`` it takes only rows whose group is s.
-    Counts per hash bucket tell in which bucket each sample ends (one row per sample,
-    fetched so that the second pass can filter on it), and only the rows of those
-    buckets are ordered.
+    Counts per hash bucket tell in which bucket each sample ends (one row per sample, joined
+    to the rows), and only the rows of those buckets are ordered.
     """
     hashed = rows.withColumn("_h", sample_key(F.col(key), seed))
     hashed = hashed.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS)).withColumn("_g", F.col(group) if group else F.lit(0))
@@ -100,16 +99,13 @@ def exact_samples(rows: DataFrame, key: str, sizes: DataFrame, seed: int = 0, gr
     ends_here = lambda s: own(s) & (s["size"] > F.col("_end") - F.col("_n")) & ((s["size"] <= F.col("_end")) | F.col("_next").isNull())
     found = ends.withColumn("_s", F.explode(F.filter("_w", ends_here))).select(
         F.col("_s.sample").alias("sample"), F.col("_b").alias("edge"), (F.col("_s.size") - F.col("_end") + F.col("_n")).alias("left"))
-    kind = dict(sizes.dtypes)["sample"]
-    edges = [F.struct(F.lit(r["sample"]).cast(kind).alias("sample"), F.lit(r["edge"]).alias("edge"), F.lit(r["left"]).alias("left")) for r in found.collect()]
-    if not edges:
-        return rows.withColumn("sample", F.lit(None).cast(kind)).limit(0)
-    mine = (lambda e: e["sample"] == F.col("_g")) if group else (lambda e: F.lit(True))
-    taken = hashed.withColumn("_e", F.explode(F.filter(F.array(*edges), lambda e: mine(e) & (e["edge"] >= F.col("_b")))))
-    taken = taken.withColumn("sample", F.col("_e.sample"))
-    whole = taken.filter("_e.edge > _b")
+    edges = cut_lineage(found.groupBy("sample").agg(F.max("edge").alias("edge"), F.max_by("left", "edge").alias("left")))
+    inside = F.col("edge") >= F.col("_b")
+    # without groups the table of edges is as short as the one of sizes; with them it is joined by group
+    taken = hashed.join(edges, (F.col("sample") == F.col("_g")) & inside) if group else hashed.join(F.broadcast(edges), inside)
+    whole = taken.filter("edge > _b")
     rank = F.row_number().over(W.partitionBy("sample", "_b").orderBy("_h", key))
-    part = taken.filter("_e.edge = _b").withColumn("_r", rank).filter("_r <= _e.left").drop("_r")
+    part = taken.filter("edge = _b").withColumn("_r", rank).filter("_r <= left").drop("_r")
     return whole.unionByName(part).select(*rows.columns, "sample")
 
 

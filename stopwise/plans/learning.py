@@ -232,7 +232,7 @@ def _(t):
 def _(t):
     train, test = _halves(t)
     model = models.fit(train, COLUMNS, models.DecisionTreeClassifier(seed=0))
-    return models.permutation_importance(model, test, COLUMNS, "hash_id", repeats=1, tested=["minute", "distance_to_start"])
+    return models.permutation_importance(model, test, COLUMNS, "hash_id")
 
 
 @query("drop_column_importance")
