@@ -30,6 +30,7 @@ CONTAINMENT = 0.8
 HASHES = 64
 FILTER_BITS = 24  # the filter has 2^24 bits, whatever the number of items
 SALTS = 8  # parts of a value that very many windows share
+FACTORS = permutations(HASHES)
 CELLS = 4_000_000  # hash values held at once for one text
 
 
@@ -39,12 +40,12 @@ def size_class(shingles: int) -> int:
 
 def window_minima(hashes: np.ndarray, classes: list[int]) -> dict[int, np.ndarray]:
     """Per class the MinHashes (windows x HASHES) of all windows of a text."""
-    factors, offsets = permutations(HASHES)
+    factors = FACTORS
     smallest = 1 << classes[0]
     starts = np.arange(0, len(hashes), smallest)
     step = max(1, CELLS // max(len(hashes), 1))
     blocks = np.concatenate([
-        np.minimum.reduceat(factors[i:i + step, None] * hashes[None, :] + offsets[i:i + step, None], starts, axis=1)
+        np.minimum.reduceat(factors[i:i + step, None] * hashes, starts, axis=1)
         for i in range(0, HASHES, step)])
     out, k = {}, classes[0]
     while True:
@@ -57,23 +58,30 @@ def window_minima(hashes: np.ndarray, classes: list[int]) -> dict[int, np.ndarra
         blocks, k = np.minimum(blocks[:, ::2], blocks[:, 1::2]), k + 1
 
 
-def _probes(values: np.ndarray, which: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    keyed = values * np.uint64(0x9E3779B97F4A7C15) + which.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k)
-    return keyed >> np.uint64(64 - FILTER_BITS), (keyed * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - FILTER_BITS)
+def _keyed(values: np.ndarray, which: np.ndarray, k: int) -> np.ndarray:
+    """A value together with its hash function and class."""
+    return values * np.uint64(0x9E3779B97F4A7C15) + (which.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k))
+
+
+def _first_probe(keyed: np.ndarray) -> np.ndarray:
+    return keyed >> np.uint64(64 - FILTER_BITS)
+
+
+def _second_probe(keyed: np.ndarray) -> np.ndarray:
+    return (keyed * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - FILTER_BITS)
 
 
 def item_signatures(items: DataFrame) -> DataFrame:
     """(item_id, words, k, values) of the different items with at least one shingle."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        factors, offsets = permutations(HASHES)
         for batch in batches:
             rows = []
             for item, text in zip(batch["item_id"], batch["text"]):
                 found = words(text)
                 hashes = shingle_hashes(found)
                 if len(hashes):
-                    minima = (factors[:, None] * hashes[None, :] + offsets[:, None]).min(1)
+                    minima = (FACTORS[:, None] * hashes).min(1)
                     rows.append((item, " ".join(found), size_class(len(hashes)), minima.view(np.int64)))
             yield pd.DataFrame(rows, columns=["item_id", "words", "k", "values"])
 
@@ -89,7 +97,8 @@ def value_filter(signatures: DataFrame) -> np.ndarray:
         for batch in batches:
             which, places = np.arange(HASHES), [np.empty(0, np.uint64)]
             for k, values in zip(batch["k"], batch["values"]):
-                places += _probes(np.asarray(values, np.int64).view(np.uint64), which, k)
+                keyed = _keyed(np.asarray(values, np.int64).view(np.uint64), which, k)
+                places += [_first_probe(keyed), _second_probe(keyed)]
             yield pd.DataFrame({"bit": np.unique(np.concatenate(places)).astype(np.int64)})
 
     out = np.zeros(1 << FILTER_BITS, bool)
@@ -109,14 +118,17 @@ def _windows(classes: list[int], shared):
                 if not len(hashes):
                     continue
                 for k, minima in window_minima(hashes, classes).items():
-                    window, which = np.divmod(np.arange(minima.size), HASHES)
-                    one, two = _probes(minima.ravel(), which, k)
-                    hits = np.flatnonzero(is_set(one) & is_set(two))
-                    for w in np.unique(window[hits]):
-                        mine = hits[window[hits] == w]
+                    keyed = _keyed(minima, np.arange(HASHES), k).ravel()
+                    hits = np.flatnonzero(is_set(_first_probe(keyed)))
+                    if not len(hits):
+                        continue
+                    hits = hits[is_set(_second_probe(keyed[hits])) > 0]
+                    window, which = hits // HASHES, hits % HASHES
+                    for w in np.unique(window):
+                        mine = which[window == w]
                         start = int(w) << k
                         rows.append((doc, start, k, " ".join(found[start:start + (2 << k) + WIDTH - 1]),
-                                     [(int(which[h]), int(minima[w, which[h]].astype(np.int64))) for h in mine]))
+                                     [(int(i), int(minima[w, i].astype(np.int64))) for i in mine]))
             out = pd.DataFrame(rows, columns=["doc_id", "start", "k", "words", "hits"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out

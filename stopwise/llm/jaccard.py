@@ -24,6 +24,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,15 +50,13 @@ def shingle_set(text: str) -> np.ndarray:
 
 
 def minhash(hashes: np.ndarray, number: int = BANDS * ROWS) -> np.ndarray:
-    factors, offsets = permutations(number, seed=23)
+    factors = permutations(number, seed=23)
     step = max(1, CELLS // len(hashes))
-    minima = [(factors[i:i + step, None] * hashes[None, :] + offsets[i:i + step, None]).min(1) for i in range(0, number, step)]
+    minima = [(factors[i:i + step, None] * hashes).min(1) for i in range(0, number, step)]
     return (np.concatenate(minima) >> np.uint64(32)).astype("<u4")
 
 
 def set_key(hashes: np.ndarray) -> bytes:
-    import xxhash
-
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 

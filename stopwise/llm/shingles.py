@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import xxhash
 
 WIDTH = 5  # words of a shingle
 WORD = re.compile(r"\w+")
@@ -14,8 +15,6 @@ MEMO = 500_000
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        import xxhash
-
         if len(self) > MEMO:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
@@ -41,13 +40,13 @@ def shingle_hashes(found: list[str], width: int = WIDTH) -> np.ndarray:
     if len(found) < width:
         return np.empty(0, np.uint64)
     codes = np.fromiter(map(HASHES.__getitem__, found), np.uint64, len(found))
-    total = np.zeros(len(found) - width + 1, np.uint64)
-    for i in range(width):
-        total += mixed(codes[i:len(codes) - width + 1 + i] ^ _MIX[i % len(_MIX)]) * (_MIX[i % len(_MIX)] + np.uint64(2 * i))
+    number = len(found) - width + 1
+    total = codes[:number] * _MIX[0]
+    for i in range(1, width):
+        total += codes[i:number + i] * (_MIX[i % len(_MIX)] + np.uint64(2 * (i // len(_MIX))))
     return mixed(total)
 
 
-def permutations(number: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Odd factors and offsets of so many hash functions."""
-    rng = np.random.default_rng(seed)
-    return rng.integers(0, 2**63, number, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, number, dtype=np.uint64)
+def permutations(number: int, seed: int = 11) -> np.ndarray:
+    """Odd factors; each permutes the mixed hashes by multiplication."""
+    return np.random.default_rng(seed).integers(0, 2**63, number, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
