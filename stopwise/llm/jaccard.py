@@ -36,6 +36,8 @@ from stopwise.operators.graph import connected_groups
 THRESHOLD = 0.8
 BANDS, ROWS = 28, 6  # a pair at the threshold shares a band with a chance of 0.9998
 TOLERANCE = 1e-4  # least chance of reaching the threshold that keeps a pair
+BLOCK = 256  # members compared with as many others at a time
+ROWS_TOGETHER = 2_000  # members of small buckets that one call compares
 STEP = 24  # hash values compared at a time
 CELLS = 4_000_000  # hash values held at once for one text
 
@@ -114,7 +116,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: floa
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     needed = stored(needed.join(reps.select("node", "key", "doc"), "node"), "needed")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null")
-    found = texts.join(needed, F.col("doc_id").eqNullSafe(F.col("doc"))).select("node", "key", "text")
+    found = texts.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("doc"))).select("node", "key", "text")  # one plan at every size
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -151,17 +153,66 @@ def central_pairs(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, members.filter("n > 2").select("bucket", "node", "a")
 
 
-def remaining_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different groups, apart from its largest group's inside and from its centre."""
+def apart(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members (bucket, node, label, main) of buckets whose members are in several groups, without the centre.
+
+    ``main`` is the group that most of the bucket belongs to.
+    """
     placed = members.join(groups, "node", "left").select("bucket", "a", "node", F.coalesce("label", "node").alias("label"))
     counts = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = stored(counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1"), "largest")
-    placed = stored(placed.join(largest, "bucket").filter("node <> a"), "outsiders")
+    return stored(placed.join(largest.drop("groups"), "bucket").filter("node <> a").drop("a"), "outsiders")
+
+
+def remaining_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of one bucket in different groups, apart from its largest group's inside and from its centre."""
+    placed = apart(members, groups)
     other = placed.select("bucket", F.col("node").alias("q"), F.col("label").alias("other"))
     pairs = placed.filter("label <> main").join(other, "bucket").filter("label <> other")
     return pairs.select(F.least("node", "q").alias("a"), F.greatest("node", "q").alias("b")).distinct()
 
 
+def remaining_kept(members: DataFrame, groups: DataFrame, minima: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The same pairs as far as the incremental comparison keeps them; they are compared in blocks, not as rows.
+
+    The members outside the main group and all members of a bucket are cut into blocks; a pair of blocks is
+    compared in one go, so a bucket of n members moves n rows for every BLOCK of outsiders.
+    """
+    placed = apart(members, groups)
+    outside = F.col("label") != F.col("main")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = placed.groupBy("bucket").agg(blocks(F.count(F.lit(1))).alias("mbs"), blocks(F.count(F.when(outside, 1))).alias("obs")).filter("obs > 0")
+    parts = max(8, placed.count() // ROWS_TOGETHER)
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    both = placed.join(sizes, "bucket")
+    left = both.filter(outside).withColumn("ob", own("obs")).withColumn("mb", every("mbs"))
+    right = both.withColumn("mb", own("mbs")).withColumn("ob", every("obs"))
+    side = lambda rows: rows.join(minima, "node").select(F.pmod(F.xxhash64("bucket", "ob", "mb"), F.lit(parts)).cast("int").alias("part"), "bucket", "ob", "mb", "node", "label", "minima")
+    fewest = least_equal(threshold)
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [np.empty((0, 2), np.int64)]
+        for _, unit in rows.groupby(["bucket", "ob", "mb"]):
+            mine, theirs = unit[unit["outside"]], unit[~unit["outside"]]
+            if not len(mine) or not len(theirs):
+                continue
+            one, two = (np.frombuffer(b"".join(x["minima"]), "<u4").reshape(len(x), -1) for x in (mine, theirs))
+            i, j = np.nonzero(mine["label"].to_numpy()[:, None] != theirs["label"].to_numpy()[None, :])
+            equal = np.zeros(len(i), np.int64)
+            for start in range(0, one.shape[1], STEP):
+                end = min(start + STEP, one.shape[1])
+                equal = equal + (one[i, start:end] == two[j, start:end]).sum(1)
+                keep = equal >= fewest[end]
+                i, j, equal = i[keep], j[keep], equal[keep]
+            a, b = mine["node"].to_numpy()[i], theirs["node"].to_numpy()[j]
+            found.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+
+    rows = side(left).withColumn("outside", F.lit(True)).unionByName(side(right).withColumn("outside", F.lit(False)))
+    return rows.groupBy("part").applyInPandas(compare, "a bigint, b bigint").distinct()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, _row, node, label) and links (a, b) between representatives.
 
@@ -173,11 +224,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
         F.min("_row").alias("node"), F.min_by("minima", "_row").alias("minima"), F.min_by("doc_id", "_row").alias("doc"),
         F.min_by("key", "_row").alias("key")), "representatives")
     minima = reps.select("node", "minima")
-    check = lambda pairs: stored(verified(stored(pruned(pairs, minima, threshold), "kept"), reps, docs, threshold), "links")
+    check = lambda kept: stored(verified(kept, reps, docs, threshold), "links")
     pairs, members = central_pairs(_band_rows(reps))
-    links = check(stored(pairs, "pairs"))
+    links = check(stored(pruned(pairs, minima, threshold), "kept"))
     groups = connected_groups(links)
-    more = stored(remaining_pairs(members, groups), "more_pairs")
+    more = stored(remaining_kept(members, groups, minima, threshold), "more_kept")
     if not more.isEmpty():
         links = links.unionByName(check(more))
         groups = connected_groups(links)

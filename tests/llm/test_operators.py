@@ -384,6 +384,23 @@ def test_classes_are_those_of_all_pairs(docs, rows):
     assert by[0].n_copies == 9 and by[1].n_links >= 1 and by[300].n_copies == 1
 
 
+def test_blocks_keep_what_pairs_keep(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    rng = np.random.default_rng(1)
+    base = [rng.integers(0, 2**32, 168, dtype=np.uint64) for _ in range(4)]
+    nodes = []
+    for i in range(60):
+        values = base[i % 4].copy()
+        values[rng.random(168) < rng.choice([0.05, 0.15, 0.5])] = i
+        nodes.append((i, values.astype("<u4").tobytes(), i % 4 if i % 3 else i))
+    minima = spark.createDataFrame([n[:2] for n in nodes], "node long, minima binary")
+    groups = spark.createDataFrame([(n[0], n[2]) for n in nodes if n[0] % 3], "node long, label long")
+    members = spark.createDataFrame([(b, n[0], 0) for b in (1, 2) for n in nodes if b == 1 or n[0] < 20], "bucket long, node long, a long")
+    pairs = lambda found: {(r.a, r.b) for r in found.collect()}
+    wanted = pairs(jaccard.pruned(jaccard.remaining_pairs(members, groups), minima))
+    assert wanted and pairs(jaccard.remaining_kept(members, groups, minima)) == wanted
+
+
 def test_one_document_of_each_class_stays(docs, empty):
     kept = {r.doc_id for r in jaccard.one_of_each(docs).collect()}
     assert not kept & set(range(100, 108)) and not kept & set(range(200, 208)) and {0, 1, 300, 301, 307} <= kept
