@@ -64,15 +64,16 @@ def _simhashes(lines: DataFrame) -> DataFrame:
 
     A sum has two counters, for one bit of either half of the words' hashes; all sums stay inside the task.
     """
-    keys = ["_part", "_row", "doc_id", "pos", "h1", "h2", "size"]
-    words = lines.withColumn("size", F.length("norm")).select(*keys, F.explode(F.split("norm", " ")).alias("word"))
-    hashed = words.select(*keys, F.xxhash64("word").alias("h"))
-    counted = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(f"shiftrightunsigned(h, {i}) & {LANES}L")).alias(f"s{i}") for i in range(32)])
+    keys, same = ["_part", "_row", "pos"], ["doc_id", "h1", "h2", "size"]
+    words = lines.withColumn("size", F.length("norm")).select(*keys, *same, F.explode(F.split("norm", " ")).alias("word"))
+    hashed = words.select(*keys, *same, F.xxhash64("word").alias("h"))
+    counted = hashed.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in same], F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(f"shiftrightunsigned(h, {i}) & {LANES}L")).alias(f"s{i}") for i in range(32)])
     bits = []
     for i in range(32):
         low, high = f"(s{i} & 4294967295L)", f"shiftrightunsigned(s{i}, 32)"
         bits += [f"if(2 * {low} > n, {1 << i}L, 0L)", f"if(2 * {high} > n, shiftleft(1L, {i + 32}), 0L)"]
-    return counted.select(*keys, F.expr(" | ".join(bits)).alias("sim"))
+    return counted.select(*keys, *same, F.expr(" | ".join(bits)).alias("sim"))
 
 
 def _bands(lines: DataFrame) -> DataFrame:
@@ -98,9 +99,21 @@ def _similar(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     texts = stored(docs.select("_part", "_row", "text").join(wanted, ["_part", "_row"]).select("node", text.alias("norm")), "line_texts")
     side = lambda node, n: texts.select(F.col("node").alias(node), F.col("norm").alias(f"norm{n}"))
     both = pairs.join(side("a", 1), "a").join(side("b", 2), "b").withColumn("most", F.floor((1 - SIMILARITY) * F.greatest(F.length("norm1"), F.length("norm2")) + 1e-9).cast("int"))
+    # what both lines begin and end with does not change their distance
+    for turn in (1, 2):
+        both = both.withColumn("same", _common_start(F.col("norm1"), F.col("norm2")))
+        both = both.withColumns({f"norm{n}": F.reverse(F.expr(f"substring(norm{n}, same + 1)")) for n in (1, 2)})
     return both.filter(F.expr("levenshtein(norm1, norm2, most) >= 0")).select("a", "b")
 
 
+def _common_start(one: Column, two: Column) -> Column:
+    """Length of the common beginning, up to 2^20 - 1, by halving steps."""
+    steps = F.array(*[F.lit(1 << i) for i in range(19, -1, -1)])
+    shorter = F.least(F.length(one), F.length(two))
+    agree = lambda p, step: (p + step <= shorter) & (F.substring(one, p + 1, step) == F.substring(two, p + 1, step))
+    return F.aggregate(steps, F.lit(0), lambda p, step: F.when(agree(p, step), p + step).otherwise(p))
+
+
 def line_groups(docs: DataFrame) -> DataFrame:
     """(h1, h2, kept): every different line of a group of two or more occurrences, and the occurrence that stays.
 
