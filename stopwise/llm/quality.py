@@ -27,6 +27,7 @@ from stopwise.llm.common import table
 
 LABELLED = 6_000  # labelled rows that fit the space and vote, at most
 LATENT = 48
+ROUNDS, SEED = 6, 3  # of the subspace iteration
 NEIGHBOURS = 15
 SHARPNESS = 8.0  # power of the similarity a vote weighs
 SHAPE_TERMS, WORD_TERMS = 1024, 2048
@@ -135,12 +136,17 @@ class Space:
 def fit(texts: list[str], labels: np.ndarray) -> Space:
     if not len(texts):
         return Space(np.ones(SHAPE_TERMS + WORD_TERMS, np.float32), np.zeros((SHAPE_TERMS + WORD_TERMS, LATENT), np.float32), np.zeros((0, LATENT), np.float32), np.zeros(0), 0.5)
-    weights = np.concatenate([term_weights(texts[i:i + 512]) for i in range(0, len(texts), 512)])
-    rarity = np.log((1 + len(texts)) / (1 + (weights > 0).sum(0))).astype(np.float32) + 1
-    weighted = Space.parts(weights, rarity)
-    _, turns = np.linalg.eigh(weighted.T @ weighted)
-    axes = np.ascontiguousarray(turns[:, ::-1][:, :LATENT])
-    latent = weighted @ axes
+    parts = [term_weights(texts[i:i + 512]) for i in range(0, len(texts), 512)]
+    WORDS.clear()
+    rarity = np.log((1 + len(texts)) / (1 + sum((part > 0).sum(0) for part in parts))).astype(np.float32) + 1
+    # truncated decomposition by subspace iteration: no more memory than the weights and a few columns
+    basis = np.random.default_rng(SEED).standard_normal((SHAPE_TERMS + WORD_TERMS, LATENT + 16)).astype(np.float32)
+    for _ in range(ROUNDS):
+        turned = sum((w.T @ (w @ basis) for w in (Space.parts(part, rarity) for part in parts)), np.zeros_like(basis))
+        basis = np.linalg.qr(turned)[0]
+    small = sum(w.T @ w for w in (Space.parts(part, rarity) @ basis for part in parts))
+    axes = np.ascontiguousarray(basis @ np.linalg.eigh(small)[1][:, ::-1][:, :LATENT])
+    latent = np.concatenate([Space.parts(part, rarity) @ axes for part in parts])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     return Space(rarity, axes, latent, labels.astype(float), float(labels.mean()))
 
