@@ -43,7 +43,7 @@ def main() -> None:
     spark.read.parquet(f"{folder}/events.parquet").count()  # start the engine before the clock
     tables = Tables(spark, folder)
     start = time.perf_counter()
-    # the stop-event table, its refreshed form and the raw feeds are stored once, like the nightly refresh does
+    # the stop-event table, its refreshed form and the raw feeds are stored once, like the nightly refresh does; the value counts it
     for feed in (lambda t: t.stops, lambda t: t.delayed, raw_plan, raw_change, raw_connections):
         feed(tables).count()
     prepare = round(time.perf_counter() - start, 3)
@@ -53,8 +53,9 @@ def main() -> None:
         CATALOG[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
     found = re.search(r"sf([0-9.]+)", folder)
-    line = {"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
-            "sf": float(found.group(1)) if found else None, "prepare_sec": prepare}
+    measured = sum(seconds.values())
+    line = {"metric": "headline_total_with_preparation", "value": round(measured + prepare, 3), "unit": "sec", "queries": seconds,
+            "sf": float(found.group(1)) if found else None, "queries_sec": round(measured, 3), "prepare_sec": prepare}
     if os.environ.get("BENCH_DUCKDB") == "1":
         line["duckdb"] = duckdb_seconds(folder, names)
     print(json.dumps(line))
