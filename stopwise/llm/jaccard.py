@@ -8,8 +8,10 @@ verified on the shingle sets.
 
 Inside a bucket of a band the members are compared with one centre, not with each other, so a bucket of any size
 proposes as many pairs as it has members. Members that the links found so far do not join are then compared with
-the rest of their bucket. Two texts that are linked, directly or through others, get one class; links that would
-only repeat a connection are not counted out, so copies and near copies never make all their pairs.
+the rest of their bucket. Two texts that are linked, directly or through others, get one class.
+
+Similar texts are in one class, so the links of a text are counted inside its class: the class is cut into blocks,
+every pair of blocks compares all its shingle sets in one matrix product, and only sums per text leave the task.
 
 Defined results: texts of one to four words have one shingle, all their words; texts without a word, null ones
 too, are a class of their own each; similarity is over different shingles of lower-case words; rows that repeat
@@ -40,6 +42,8 @@ BLOCK = 256  # members compared with as many others at a time
 ROWS_TOGETHER = 2_000  # members of small buckets that one call compares
 STEP = 24  # hash values compared at a time
 CELLS = 4_000_000  # hash values held at once for one text
+MEMBERS = 1024  # texts of a class in one block when links are counted
+BLOCK_BYTES = 16 << 20  # shingle sets in one block
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -111,8 +115,8 @@ def pruned(pairs: DataFrame, minima: DataFrame, threshold: float = THRESHOLD) ->
     return pairs.join(side("b", "right"), "b").join(side("a", "left"), "a").select("a", "b", "left", "right").mapInPandas(prune, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs whose shingle sets are similar enough; sets are read from the texts of the pairs' nodes only."""
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Pairs whose shingle sets are similar enough, and the sets (node, hashes), read from the texts of the pairs' nodes only."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     needed = stored(needed.join(reps.select("node", "key", "doc"), "node"), "needed")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null")
@@ -136,7 +140,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: floa
             yield batch[np.array(keep, bool)][["a", "b"]]
 
     side = lambda node, name: sets.select(F.col("node").alias(node), F.col("hashes").alias(name))
-    return pairs.join(side("b", "right"), "b").join(side("a", "left"), "a").select("a", "b", "left", "right").mapInPandas(verify, "a bigint, b bigint")
+    return pairs.join(side("b", "right"), "b").join(side("a", "left"), "a").select("a", "b", "left", "right").mapInPandas(verify, "a bigint, b bigint"), sets
 
 
 def _band_rows(reps: DataFrame) -> DataFrame:
@@ -213,8 +217,69 @@ def remaining_kept(members: DataFrame, groups: DataFrame, minima: DataFrame, thr
     return rows.groupBy("part").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, _row, node, label) and links (a, b) between representatives.
+def common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Number of values that each set of ``one`` shares with each of ``two``."""
+    shared = np.intersect1d(np.concatenate(one), np.concatenate(two))
+    out = np.zeros((len(one), len(two)), np.float32)
+    step = max(1, CELLS // max(len(one), len(two)))
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        held = shared[at] == values
+        return rows[held], at[held]
+
+    def part(found: tuple[np.ndarray, np.ndarray], number: int, start: int) -> np.ndarray:
+        rows, at = found
+        inside = (at >= start) & (at < start + step)
+        cells = np.zeros((number, min(step, len(shared) - start)), np.float32)
+        cells[rows[inside], at[inside] - start] = 1
+        return cells
+
+    if len(shared):
+        left, right = places(one), places(two)
+        for start in range(0, len(shared), step):
+            out += part(left, len(one), start) @ part(right, len(two), start).T
+    return out
+
+
+def link_counts(groups: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, n_links) of every node of groups (node, label): similar texts among those of its class."""
+    weighed = groups.join(sets.select("node", F.length("hashes").alias("bytes")), "node")
+    sizes = stored(weighed.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).select(
+        "label", "n", "bytes", F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "class_sizes")
+    moved = sizes.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0] or 0
+    parts = max(8, moved // BLOCK_BYTES)
+    placed = groups.join(sizes, "label")
+    pairs = placed.filter("n = 2").select("node", F.lit(1).cast("bigint").alias("n_links"))  # two texts make a class by one link
+    blocked = placed.filter("n > 2").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = blocked.select("node", "label", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    rows = units.join(sets, "node").select(F.pmod(F.xxhash64("label", "p", "q"), F.lit(parts)).cast("int").alias("part"), "label", "p", "q", "own", "node", "hashes")
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"node": np.empty(0, np.int64), "n_links": np.empty(0, np.int64)})]
+        for (_, p, q), unit in rows.groupby(["label", "p", "q"]):
+            mine, theirs = unit[unit["own"] == p], unit[unit["own"] == q]
+            if not len(mine) or not len(theirs):
+                continue
+            one, two = ([np.frombuffer(x, np.uint64) for x in side["hashes"]] for side in (mine, theirs))
+            common = common_counts(one, two).astype(np.int64)
+            either = np.array([len(x) for x in one])[:, None] + np.array([len(x) for x in two])[None, :] - common
+            similar = common >= threshold * either - 1e-9
+            if p == q:
+                np.fill_diagonal(similar, False)
+            else:
+                found.append(pd.DataFrame({"node": theirs["node"], "n_links": similar.sum(0)}))
+            found.append(pd.DataFrame({"node": mine["node"], "n_links": similar.sum(1)}))
+        return pd.concat(found).groupby("node", as_index=False)["n_links"].sum()
+
+    counted = rows.groupBy("part").applyInPandas(count, "node bigint, n_links bigint").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    return pairs.unionByName(counted)
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, _row, node, label), groups (node, label) of linked representatives, and their sets (node, hashes).
 
     ``node`` is the representative of a row's text, ``label`` the class of the node.
     """
@@ -224,23 +289,28 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
         F.min("_row").alias("node"), F.min_by("minima", "_row").alias("minima"), F.min_by("doc_id", "_row").alias("doc"),
         F.min_by("key", "_row").alias("key")), "representatives")
     minima = reps.select("node", "minima")
-    check = lambda kept: stored(verified(kept, reps, docs, threshold), "links")
+
+    def check(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found, sets = verified(kept, reps, docs, threshold)
+        return stored(found, "links"), sets
+
     pairs, members = central_pairs(_band_rows(reps))
-    links = check(stored(pruned(pairs, minima, threshold), "kept"))
+    links, sets = check(stored(pruned(pairs, minima, threshold), "kept"))
     groups = connected_groups(links)
     more = stored(remaining_kept(members, groups, minima, threshold), "more_kept")
     if not more.isEmpty():
-        links = links.unionByName(check(more))
+        found, more_sets = check(more)
+        links, sets = links.unionByName(found), sets.unionByName(more_sets.join(sets.select("node"), "node", "left_anti"))
         groups = connected_groups(links)
     labels = stored(reps.join(groups, "node", "left").select("_key", "node", F.coalesce("label", "node").alias("label")), "labels")
-    return stored(grouped.select("doc_id", "_row", "_key").join(labels, "_key").drop("_key"), "classes"), links
+    return stored(grouped.select("doc_id", "_row", "_key").join(labels, "_key").drop("_key"), "classes"), groups, sets
 
 
 def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies) of every row: its class, links of its text to other texts, rows with its text."""
-    rows, links = classes(docs, threshold)
+    rows, groups, sets = classes(docs, threshold)
     ids = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    ends = link_counts(groups, sets, threshold)
     copies = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n_copies"), F.min("label").alias("label"))
     facts = stored(copies.join(ends, "node", "left").join(ids, "label").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "facts")
     return rows.select("doc_id", "node").join(facts, "node").select("doc_id", "class_id", "n_links", "n_copies")
@@ -248,7 +318,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class: the one with the smallest doc_id; rows with that doc_id and another class stay."""
-    rows, _ = classes(docs, threshold)
+    rows, _, _ = classes(docs, threshold)
     first = rows.groupBy("label").agg(F.min("doc_id").alias("kept"))
     gone = rows.join(first, "label").filter(~F.col("doc_id").eqNullSafe(F.col("kept"))).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")

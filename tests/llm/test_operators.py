@@ -384,6 +384,25 @@ def test_classes_are_those_of_all_pairs(docs, rows):
     assert by[0].n_copies == 9 and by[1].n_links >= 1 and by[300].n_copies == 1
 
 
+@pytest.mark.parametrize("members", [1024, 3])
+def test_links_are_those_of_all_pairs(spark, docs, rows, monkeypatch, members):
+    monkeypatch.setattr(jaccard, "MEMBERS", members)
+    rng = random.Random(12)
+    start = words_of(rng, 150).split()
+    chain = [" ".join(start[:i] + [f"w{i}n{k}" for k in range(12 * i // 10)] + start[2 * i:]) for i in range(0, 24, 2)]  # neighbours are similar, ends are not
+    made = [*rows, *[(1000 + i, t) for i, t in enumerate(chain)], (1100, chain[0]), (1101, "one"), (1102, "One!")]
+    frame = spark.createDataFrame(made, "doc_id bigint, text string")
+    sets = []
+    for _, text in made:
+        w = re.findall(r"\w+", (text or "").lower())
+        sets.append(frozenset({tuple(w)} if 0 < len(w) < 5 else {tuple(w[i:i + 5]) for i in range(len(w) - 4)}))
+    different = set(sets) - {frozenset()}
+    links = {a: sum(a != b and len(a & b) >= 0.8 * len(a | b) for b in different) for a in different}
+    assert max(links.values()) >= 8 and len(set(links.values())) > 3
+    found = Counter((r.doc_id, r.n_links) for r in jaccard.linked(frame).collect())
+    assert found == Counter((d, links.get(s, 0)) for (d, _), s in zip(made, sets))
+
+
 def test_blocks_keep_what_pairs_keep(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 7)
     rng = np.random.default_rng(1)
