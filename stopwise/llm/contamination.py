@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm.common import stored, table
+from stopwise.llm.common import numbered, stored, table
 from stopwise.llm.shingles import WIDTH, permutations, shingle_hashes, words
 
 CONTAINMENT = 0.8
@@ -166,9 +166,11 @@ def matches(docs: DataFrame, items: DataFrame, at_least: float = CONTAINMENT) ->
 
 
 def without_items(docs: DataFrame, items: DataFrame, at_least: float = CONTAINMENT) -> DataFrame:
-    """Documents that hold no item; rows of one doc_id share their fate."""
-    bad = matches(docs, items, at_least).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """Rows that hold no item; rows are told apart by number, so rows that share a doc_id, or have none, go each for itself."""
+    own = numbered(docs.withColumnRenamed("_row", "_given") if "_row" in docs.columns else docs, "documents")
+    bad = matches(own.select(F.col("_row").alias("doc_id"), "text"), items, at_least).select(F.col("doc_id").alias("_row")).distinct()
+    left = own.join(bad, "_row", "left_anti").drop("_row")
+    return left.withColumnRenamed("_given", "_row").select(*docs.columns)
 
 
 def op5_containment_search(spark: SparkSession, folder: str) -> DataFrame:

@@ -81,16 +81,18 @@ def least_equal(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, numb
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, minima) of every row; key and minima are null for texts without a word."""
+    """(doc_id, key, minima) of every row, and its ``_own`` if there is one; key and minima are null for texts without a word."""
+    kept = [c for c in docs.columns if c == "_own"]
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(text or "") for text in batch["text"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "key": [set_key(s) if len(s) else None for s in sets],
+                **{c: batch[c] for c in kept}, "doc_id": batch["doc_id"].astype("Int64"), "key": [set_key(s) if len(s) else None for s in sets],
                 "minima": [minhash(s).tobytes() if len(s) else None for s in sets]})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(sign, "doc_id bigint, key binary, minima binary")
+    kinds = "".join(f"{c} bigint, " for c in kept) + "doc_id bigint, key binary, minima binary"
+    return docs.select(*kept, F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(sign, kinds)
 
 
 def pruned(pairs: DataFrame, minima: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -279,7 +281,7 @@ def link_counts(groups: DataFrame, sets: DataFrame, threshold: float = THRESHOLD
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, _row, node, label), groups (node, label) of linked representatives, and their sets (node, hashes).
+    """Rows (doc_id, _row, node, label, and _own if docs have it), groups (node, label) of linked representatives, and their sets (node, hashes).
 
     ``node`` is the representative of a row's text, ``label`` the class of the node.
     """
@@ -303,7 +305,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
         links, sets = links.unionByName(found), sets.unionByName(more_sets.join(sets.select("node"), "node", "left_anti"))
         groups = connected_groups(links)
     labels = stored(reps.join(groups, "node", "left").select("_key", "node", F.coalesce("label", "node").alias("label")), "labels")
-    return stored(grouped.select("doc_id", "_row", "_key").join(labels, "_key").drop("_key"), "classes"), groups, sets
+    return stored(grouped.drop("key", "minima").join(labels, "_key").drop("_key"), "classes"), groups, sets
 
 
 def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -317,11 +319,17 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class: the one with the smallest doc_id; rows with that doc_id and another class stay."""
-    rows, _, _ = classes(docs, threshold)
-    first = rows.groupBy("label").agg(F.min("doc_id").alias("kept"))
-    gone = rows.join(first, "label").filter(~F.col("doc_id").eqNullSafe(F.col("kept"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """One row of each class: of the rows with the smallest doc_id (null only if all are null) the first one.
+
+    Rows are told apart by number, so rows that share a doc_id, or have none, stay or go each for itself.
+    """
+    own = numbered(docs.withColumnRenamed("_row", "_given") if "_row" in docs.columns else docs, "documents")
+    rows, _, _ = classes(own.select(F.col("_row").alias("_own"), "doc_id", "text"), threshold)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_own")
+    first = rows.groupBy("label").agg(F.min(order).getField("_own").alias("kept"))
+    gone = rows.join(first, "label").filter("_own <> kept").select(F.col("_own").alias("_row"))
+    left = own.join(gone, "_row", "left_anti").drop("_row")
+    return left.withColumnRenamed("_given", "_row").select(*docs.columns)
 
 
 def op10_bayesian_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

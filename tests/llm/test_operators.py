@@ -426,6 +426,20 @@ def test_one_document_of_each_class_stays(docs, empty):
     assert jaccard.linked(empty).count() == 0
 
 
+def test_rows_are_deleted_one_by_one(spark):
+    rng = random.Random(21)
+    a, b, c, d = (words_of(rng, 60) for _ in range(4))
+    made = [(5, a), (5, b), (3, b + " more"), (None, c), (None, c), (None, d), (8, d), (9, a), (9, a), (None, None), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(made)], DOCS).coalesce(1)
+    left = jaccard.one_of_each(docs).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter([(5, a), (3, b + " more"), (None, c), (8, d), (None, None), (None, None), (None, "")])
+    assert left[0].__fields__ == docs.columns
+    items = spark.createDataFrame([(1, " ".join(d.split()[5:30])), (2, " ".join(b.split()[5:30]))], "item_id bigint, text string")
+    clean = contamination.without_items(docs.withColumn("_row", F.lit("x")), items)
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter((i, t) for i, t in made if not (t or "").startswith((b, d)))
+    assert clean.columns == [*docs.columns, "_row"]
+
+
 def test_pruning_keeps_likely_pairs():
     fewest = jaccard.least_equal()
     rng = np.random.default_rng(3)
