@@ -4,14 +4,18 @@ A short item inside a long document has a tiny Jaccard similarity, so sizes are
 classes by their number of shingles, 2^(k-1) < n <= 2^k. For each class in use a document is read in windows
 of 2^(k+1) shingles, 2^k apart: every run of 2^k shingles lies whole in one of them. Against a window an item
 with containment t has Jaccard similarity of at least t / (4 + 1 - t), 0.19 for t = 0.8, so one equal value
-among 64 MinHashes misses it with a chance below 2 in a million. A filter of fixed size with the items' values
-goes to every task and only windows that meet it are shuffled; they are joined to the items by value, and the
-share of the item's five-word shingles that the window holds is counted from the words themselves.
-
-Defined results: an item is found in a document if one window holds at least 80 % of its different shingles;
+among 64 MinHashes misses it with a chance below 2 in a million. Where an item's shingles lie in several windows,
+each of them may propose it: a shingle with the item's smallest value is the smallest of its window with a chance
+of n / (n + 2^(k+1)), a fifth at least, so 80 % of the shingles, wherever they are, miss 64 times with a chance of
+(1 - 0.8 / 5)^64, below 2 in 100 000. A filter of fixed size with the items' values goes to every task and only
+documents that meet it go on; they are joined to the items by value, and the share of the item's different
+five-word shingles is counted over the whole document.
+
+Defined results: an item is found in a document if the document holds at least 80 % of its different shingles,
+together or apart; window_start is the first word of the window that holds most of them, the first such window;
 items of under five words have no shingle and are never found; null and empty texts hold nothing; equal items
-(the same words) are one, under their smallest id; rows that repeat a doc_id are one document; texts of any
-length are read whole; empty tables give no rows.
+(the same words) are one, under their smallest id, but the query lists every id of theirs; rows that repeat a
+doc_id give the largest containment of one row; texts of any length are read whole; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopwise.llm.common import numbered, stored, table
-from stopwise.llm.shingles import WIDTH, permutations, shingle_hashes, words
+from stopwise.llm.shingles import permutations, shingle_hashes, words
 
 CONTAINMENT = 0.8
 HASHES = 64
@@ -72,7 +76,7 @@ def _second_probe(keyed: np.ndarray) -> np.ndarray:
 
 
 def item_signatures(items: DataFrame) -> DataFrame:
-    """(item_id, words, k, values) of the different items with at least one shingle."""
+    """(item_id, words, k, values) of the items with at least one shingle."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -86,8 +90,7 @@ def item_signatures(items: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["item_id", "words", "k", "values"])
 
     texts = items.filter("text is not null and item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    signed = texts.mapInPandas(sign, "item_id bigint, words string, k int, values array<bigint>")
-    return signed.groupBy("words", "k", "values").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("copies"))
+    return texts.mapInPandas(sign, "item_id bigint, words string, k int, values array<bigint>")
 
 
 def value_filter(signatures: DataFrame) -> np.ndarray:
@@ -117,52 +120,82 @@ def _windows(classes: list[int], shared):
                 hashes = shingle_hashes(found)
                 if not len(hashes):
                     continue
+                met = set()
                 for k, minima in window_minima(hashes, classes).items():
                     keyed = _keyed(minima, np.arange(HASHES), k).ravel()
                     hits = np.flatnonzero(is_set(_first_probe(keyed)))
                     if not len(hits):
                         continue
                     hits = hits[is_set(_second_probe(keyed[hits])) > 0]
-                    window, which = hits // HASHES, hits % HASHES
-                    for w in np.unique(window):
-                        mine = which[window == w]
-                        start = int(w) << k
-                        rows.append((doc, start, k, " ".join(found[start:start + (2 << k) + WIDTH - 1]),
-                                     [(int(i), int(minima[w, i].astype(np.int64))) for i in mine]))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "k", "words", "hits"])
+                    met.update((k, int(h % HASHES), int(minima[h // HASHES, h % HASHES].astype(np.int64))) for h in hits)
+                if met:
+                    rows.append((doc, " ".join(found), sorted(met)))
+            out = pd.DataFrame(rows, columns=["doc_id", "words", "hits"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
     return meet
 
 
-def shingle_texts(found: Column) -> Column:
-    """The different shingles of space-separated words."""
-    parts = F.split(found, " ")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts) - (WIDTH - 1)), lambda i: F.array_join(F.slice(parts, i, WIDTH), " ")))
+def fullest_window(places: np.ndarray, which: np.ndarray, shingles: int, k: int) -> int:
+    """Start of the first window that holds most of an item; shingle ``which`` of the item stands at each of ``places``."""
+    last = max((shingles - 1 >> k) - 1, 0)
+    block = places >> k
+    windows, which = np.concatenate([np.minimum(block, last), np.maximum(block - 1, 0)]), np.concatenate([which, which])
+    number, counts = np.unique(np.unique(np.column_stack([windows, which]), axis=0)[:, 0], return_counts=True)
+    return int(number[counts.argmax()]) << k
+
+
+def _held(at_least: float):
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, text, ids, kinds, texts in zip(batch["doc_id"], batch["words"], batch["ids"], batch["kinds"], batch["texts"]):
+                hashes = shingle_hashes(text.split(" "))
+                order = np.argsort(hashes, kind="stable")
+                ordered = hashes[order]
+                for item, k, wanted in zip(ids, kinds, texts):
+                    own = np.unique(shingle_hashes(wanted.split(" ")))
+                    first, end = (np.searchsorted(ordered, own, side) for side in ("left", "right"))
+                    share = float((end > first).sum() / len(own))
+                    if share >= at_least:
+                        places = np.concatenate([order[a:b] for a, b in zip(first, end)])
+                        rows.append((doc, item, share, fullest_window(places, np.repeat(np.arange(len(own)), end - first), len(hashes), int(k))))
+            out = pd.DataFrame(rows, columns=["doc_id", "item_id", "containment", "window_start"])
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out
+
+    return verify
+
 
+def matches(docs: DataFrame, items: DataFrame, at_least: float = CONTAINMENT, every_id: bool = False) -> DataFrame:
+    """(doc_id, item_id, containment, window_start) of every document and item found in it.
 
-def matches(docs: DataFrame, items: DataFrame, at_least: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, item_id, containment, window_start) of every document and item found in it."""
+    Equal items are listed under their smallest id, or with ``every_id`` under each of their ids.
+    """
     spark = docs.sparkSession
-    signed = stored(item_signatures(items), "items")
+    each = stored(item_signatures(items), "items")
+    signed = stored(each.groupBy("words", "k", "values").agg(F.min("item_id").alias("item_id")), "different_items")
     classes = sorted(r["k"] for r in signed.select("k").distinct().collect())  # one per power of two
     if not classes:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, containment double, window_start bigint")
     shared = spark.sparkContext.broadcast(value_filter(signed))  # fixed size
     texts = docs.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    kinds = "doc_id bigint, start bigint, k int, words string, hits array<struct<i int, v bigint>>"
-    met = stored(texts.mapInPandas(_windows(classes, shared), kinds).withColumn("wid", F.monotonically_increasing_id()), "windows")
+    kinds = "doc_id bigint, words string, hits array<struct<k int, i int, v bigint>>"
+    met = stored(texts.mapInPandas(_windows(classes, shared), kinds).withColumn("wid", F.monotonically_increasing_id()), "met")
     values = signed.select("item_id", "k", F.posexplode("values").alias("i", "v")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = met.select("wid", "k", F.inline("hits")).withColumn("salt", F.pmod(F.xxhash64("wid"), F.lit(SALTS)).cast("int"))
+    hits = met.select("wid", F.inline("hits")).withColumn("salt", F.pmod(F.xxhash64("wid"), F.lit(SALTS)).cast("int"))
     pairs = hits.join(values, ["k", "i", "v", "salt"]).select("wid", "item_id").distinct()
-    whole = signed.select("item_id", shingle_texts(F.col("words")).alias("wanted"))
-    seen = met.select("wid", "doc_id", "start", shingle_texts(F.col("words")).alias("held"))
-    checked = pairs.join(seen, "wid").join(whole, "item_id").select(
-        "doc_id", "item_id", "start", (F.size(F.array_intersect("wanted", "held")) / F.size("wanted")).alias("containment"))
-    best = checked.filter(F.col("containment") >= at_least).groupBy("doc_id", "item_id").agg(
-        F.max("containment").alias("containment"), F.min("start").alias("window_start"))
-    return best
+    wanted = pairs.join(signed.select("item_id", "k", "words"), "item_id").groupBy("wid").agg(F.collect_list(F.struct("item_id", "k", "words")).alias("wanted"))
+    wanted = wanted.select("wid", F.col("wanted.item_id").alias("ids"), F.col("wanted.k").alias("kinds"), F.col("wanted.words").alias("texts"))
+    checked = met.select("wid", "doc_id", "words").join(wanted, "wid").select("doc_id", "words", "ids", "kinds", "texts").mapInPandas(
+        _held(at_least), "doc_id bigint, item_id bigint, containment double, window_start bigint")
+    best = checked.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", (-F.col("window_start")).alias("back"))).alias("best")).select(
+        "doc_id", "item_id", F.col("best.containment").alias("containment"), (-F.col("best.back")).alias("window_start"))
+    if not every_id:
+        return best
+    same = signed.select("words", F.col("item_id").alias("_first")).join(each.select("words", "item_id").distinct(), "words").drop("words")
+    return best.withColumnRenamed("item_id", "_first").join(same, "_first").select("doc_id", "item_id", "containment", "window_start")
 
 
 def without_items(docs: DataFrame, items: DataFrame, at_least: float = CONTAINMENT) -> DataFrame:
@@ -174,4 +207,4 @@ def without_items(docs: DataFrame, items: DataFrame, at_least: float = CONTAINME
 
 
 def op5_containment_search(spark: SparkSession, folder: str) -> DataFrame:
-    return matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"), every_id=True)

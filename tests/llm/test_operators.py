@@ -249,6 +249,23 @@ def test_items_in_documents(spark, docs, rows):
     assert left == {i for i, _ in rows} - {d for d, _ in wanted}
 
 
+def test_items_in_pieces_and_equal_items(spark, tmp_path):
+    rng = random.Random(31)
+    filler = lambda n: " ".join(f"f{rng.randrange(10**9)}" for _ in range(n))
+    item = words_of(rng, 37, 4000).split()
+    quarters = [" ".join(item[i:i + 19]) for i in (0, 15, 18)]
+    made = [(1, f"{filler(50)} {' '.join(item[:18])} {filler(300)} {' '.join(item[18:])} {filler(40)}"), (2, f"{filler(700)} {' '.join(item[:25])} {filler(9)}"),
+            (3, filler(400).join(quarters)), (4, f"{filler(130)} {' '.join(item)} {filler(20)}")]
+    spark.createDataFrame(made, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(item)), (5, " ".join(item).upper()), (9, filler(30))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {(r.doc_id, r.item_id): (r.containment, r.window_start) for r in QUERIES["op5_containment_search"](spark, str(tmp_path)).collect()}
+    shingled = lambda t: {tuple(w[i:i + 5]) for w in [t.split()] for i in range(len(w) - 4)}
+    own = shingled(" ".join(item))
+    wanted = {(d, i): len(own & shingled(t)) / len(own) for d, t in made for i in (5, 7) if len(own & shingled(t)) >= 0.8 * len(own)}
+    assert {k: v[0] for k, v in found.items()} == pytest.approx(wanted) and {d for d, _ in wanted} == {1, 3, 4}
+    assert found[4, 5] == (1.0, 64)
+
+
 def test_no_items_or_documents(spark, docs, empty):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert contamination.matches(docs, none).count() == 0
