@@ -5,6 +5,9 @@ whichever shares the longer beginning. The text lines of both pages are aligned
 subsequence, and lines that both have are template and deleted. Lines inside an article are protected from
 this: a sentence that two articles quote is content. Markup then removes what only one page shows: lines in
 menus, headers, footers, adverts, notices, forms and comments, and lines outside an article that is there.
+A class, id or role marks an element if a whole token, or what stands before its first hyphen or underscore, is
+a mark. Such names never mark body, main, article or what an article stands in; articles below comments or
+links to other pages are part of those, unless the page has no article elsewhere.
 
 The order is made by range partitioning on (host, path), so a host of any size is spread over tasks; only
 hashes of lines outside articles travel for the comparison, and page bodies are shuffled once, compressed.
@@ -31,9 +34,9 @@ from stopwise.llm.common import numbered, rank_in_class, table
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|([^<]+|<)", re.DOTALL | re.IGNORECASE)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
-WORD = re.compile(r"[a-z0-9]+")
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+UNSHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+HEAD = re.compile(r"[-_]")
 
 # fixed values: elements and the words in class, id and role that mark what surrounds an article
 ARTICLE = {"article", "main"}
@@ -43,23 +46,45 @@ MARKS = set(
     "footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay comment comments reply replies respond "
     "disqus share sharing social related recommended newsletter subscribe signup login search breadcrumb breadcrumbs pagination pager widget "
     "toolbar form copyright complementary contentinfo".split())
+LISTS = set("comment comments reply replies respond disqus related recommended".split())  # marks of places with articles of their own
+UNMARKED = {"html", "body", "main", "article"}  # no class, id or role marks these
 INLINE = set("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 
 BOILERPLATE, OPEN, CONTENT = 0, 1, 2
-
-
-def _marked(name: str, attributes: str, in_article: bool) -> bool:
-    if name in OUTSIDE and not (in_article and name == "header"):
-        return True
-    if not attributes:
-        return False
-    words = {w for groups in NAMES.findall(attributes) for w in WORD.findall("".join(groups).lower())}
-    return bool(words & MARKS) or bool(HIDDEN.search(attributes))
+NAMED, LISTED = 3, 4  # boilerplate by class, id or role only; LISTED also drops the articles inside
+DROPPED = {BOILERPLATE, NAMED, LISTED}
+
+
+def _kind(name: str, attributes: str, kind: int, lists: bool) -> int:
+    """Kind of an element inside one of ``kind``; ``lists`` says whether comments may keep their articles to themselves."""
+    if kind == BOILERPLATE or (name in OUTSIDE and not (kind == CONTENT and name == "header")):
+        return BOILERPLATE
+    found: dict[str, str] = {}
+    for key, *values in ATTRIBUTE.findall(attributes or ""):
+        found.setdefault(key.lower(), "".join(values).strip().lower())
+    if found.get("hidden", "false") != "false" or found.get("aria-hidden") == "true" or UNSHOWN.search(found.get("style", "")):
+        return BOILERPLATE
+    if name in ARTICLE and kind != LISTED:
+        return CONTENT
+    if name in UNMARKED or kind == LISTED:
+        return kind
+    tokens = [t for key in ("class", "id", "role") for t in found.get(key, "").split()]
+    marks = {m for t in tokens for m in (t, HEAD.split(t)[0])} & MARKS
+    if lists and marks & LISTS:
+        return LISTED
+    return NAMED if marks else kind
 
 
 def text_lines(page: str) -> list[tuple[int, str]]:
     """(kind, text) of each block in page order; white space is one space."""
+    lines, listed = _blocks(page, True)
+    return _blocks(page, False)[0] if listed and all(kind != CONTENT for kind, _ in lines) else lines
+
+
+def _blocks(page: str, lists: bool) -> tuple[list[tuple[int, str]], bool]:
+    """The blocks, and whether an article was dropped with the comments around it."""
+    listed = False
     lines: list[tuple[int, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = [("", OPEN)]
@@ -68,7 +93,7 @@ def text_lines(page: str) -> list[tuple[int, str]]:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            lines.append((stack[-1][1], text))
+            lines.append((BOILERPLATE if stack[-1][1] in DROPPED else stack[-1][1], text))
 
     for found in TOKEN.finditer(page):
         _, closing, name, attributes, text = found.groups()
@@ -90,20 +115,20 @@ def text_lines(page: str) -> list[tuple[int, str]]:
             elif name == "p":
                 continue
             continue
-        marked = kind == BOILERPLATE or _marked(name, attributes, kind == CONTENT)
-        if name in INLINE and not (marked and kind != BOILERPLATE):
+        own = _kind(name, attributes, kind, lists)
+        if name in INLINE and not (own in DROPPED and kind not in DROPPED):
             if name == "br":
                 parts.append(" ")
             continue
         end_block()
         if name in ("p", "li", "option", "tr", "td") and stack[-1][0] == name:
             stack.pop()
-            kind = stack[-1][1]
-            marked = kind == BOILERPLATE or _marked(name, attributes, kind == CONTENT)
+            own = _kind(name, attributes, stack[-1][1], lists)
         if name not in VOID and not attributes.endswith("/"):
-            stack.append((name, BOILERPLATE if marked else CONTENT if name in ARTICLE else kind))
+            listed = listed or (name in ARTICLE and own == LISTED)
+            stack.append((name, own))
     end_block()
-    return lines
+    return lines, listed
 
 
 def common_lines(a: list[int], b: list[int]) -> set[int]:

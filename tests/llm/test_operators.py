@@ -73,6 +73,22 @@ def test_differencing_deletes_what_neighbours_share(spark):
     assert found[10] == "A\nb c" and found[11] == "" and found[12] == ""
 
 
+@pytest.mark.parametrize("page, wanted", [
+    ("<body class='has-sidebar'><p>a</p></body>", "a"),
+    ("<body class='sidebar'><div id='content-with-sidebar'><article>a</article></div></body>", "a"),
+    ("<main class='comments-open'>a<p>b</main>", "a b"),
+    ("<article id='comment'><p>a<div class='overflow-hidden'>b</div><p>c <a href='/hidden-gems'>d</a> <a href=/hidden>e</a></article>", "a b c d e"),
+    ("<article><h1 class='post-header'>a</h1><p data-id='ad'>b<p title='class=ad'>c</article>", "a b c"),
+    ("<div class='modal'><p>x</p><div><article>a</article></div></div><div class='comments'><article class='comment'>y</article></div>", "a"),
+    ("<div id='comments'><article>a</article></div>", "a"),
+    ("<article>a<div class='wide ad-slot'>x</div><div hidden>x</div><div hidden='hidden'>x</div><p style='display: none'>x</p><b aria-hidden=true>x</b><p id=sidebar>x</article>", "a"),
+    ("<article>a<div class='comments'><article>x</article></div>b</article><div role='navigation'>x</div>", "a b")])
+def test_marks_take_no_main_text(page, wanted):
+    found = pages.text_lines(page)
+    article = any(kind == pages.CONTENT for kind, _ in found)
+    assert " ".join(t for kind, t in found if kind == (pages.CONTENT if article else pages.OPEN)) == wanted
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
