@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from stopwise.llm import contamination, jaccard, lines, neighbours, packing, pages, quality, sharding, substrings, toxicity
+from stopwise.llm import (contamination, jaccard, lines, neighbours, packing, pages, periodic, quality, repair, sharding, substrings, tokencounts,
+                          toxicity)
 
 QUERIES = {f.__name__: f for f in (
     pages.op1_nearest_url_differencing,
@@ -15,6 +16,9 @@ QUERIES = {f.__name__: f for f in (
     toxicity.op6_noisy_channel_toxicity,
     quality.op9_neighbour_voting,
     jaccard.op10_bayesian_jaccard_join,
+    repair.op11_survivor_coalescence,
+    periodic.op12_lyndon_lce_runs,
+    tokencounts.op13_pretoken_counts,
 )}
 
 ORACLES: dict[str, str] = {}
