@@ -32,7 +32,7 @@ from stopwise.llm.packing import tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 32_000_000
 BLOCKS = "kind string, block bigint, spot int, word string, doc_id string, n_bytes bigint, n_special bigint, spots binary, counts binary"
 
 # fixed values: the splitting pattern of the vocabulary, with its classes written out for characters below U+0180
@@ -99,6 +99,15 @@ def pre_tokens(path: str) -> PreTokens:
     return PreTokens(path)
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """All lowest bytes, then all second ones and so on: the upper ones are mostly zero and take no room once compressed."""
+    return numbers.astype("<i4").view("u1").reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(4, -1).T).view("<i4").ravel()
+
+
 class Block:
     """Documents read together: their distinct pre-tokens, and positions and frequencies of each document."""
 
@@ -111,7 +120,7 @@ class Block:
         spots = np.fromiter((place(w, len(words)) for w in found), "<i4", len(found))
         counts = np.fromiter(found.values(), "<i4", len(found))
         order = np.argsort(spots)
-        self.docs.append((doc_id, n_bytes, special, np.diff(spots[order], prepend=np.int32(0)).astype("<i4").tobytes(), counts[order].tobytes()))
+        self.docs.append((doc_id, n_bytes, special, planes(np.diff(spots[order], prepend=np.int32(0))), planes(counts[order])))
         self.chars += len(text) + 16  # documents without text fill a block too
 
     def frame(self) -> Iterator[pd.DataFrame]:
@@ -147,22 +156,23 @@ def blocks(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFr
 
 
 def piece_counts(words: DataFrame, path: str) -> DataFrame:
-    """(word, pieces), once per distinct word."""
+    """(word, pieces), once per distinct word. Reads all columns of ``words``, so that a shuffle by word serves the join as well."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = pre_tokens(path).pieces
         for batch in batches:
             yield pd.DataFrame({"word": batch["word"], "pieces": np.fromiter(map(pieces, batch["word"]), "i4", len(batch))})
 
-    return words.select("word").distinct().mapInPandas(count, "word string, pieces int")
+    once = words.groupBy("word").agg(F.min("block").alias("block"), F.min("spot").alias("spot"))
+    return once.filter("block is not null and spot is not null").select("word").mapInPandas(count, "word string, pieces int")
 
 
 def sums(docs: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
     """Tokens of each document of one block."""
     of = np.zeros(len(pieces), "i8")
     of[pieces["spot"].to_numpy()] = pieces["pieces"].to_numpy()
-    spots = [np.cumsum(np.frombuffer(s, "<i4")) for s in docs["spots"]]
-    n_tokens = [int(of[s] @ np.frombuffer(c, "<i4")) + n for s, c, n in zip(spots, docs["counts"], docs["n_special"])]
+    spots = [np.cumsum(from_planes(s)) for s in docs["spots"]]
+    n_tokens = [int(of[s] @ from_planes(c)) + n for s, c, n in zip(spots, docs["counts"], docs["n_special"])]
     return pd.DataFrame({"doc_id": docs["doc_id"], "n_bytes": docs["n_bytes"], "n_tokens": n_tokens})
 
 
@@ -170,7 +180,7 @@ def token_counts(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) ->
     """doc_id, n_bytes and n_tokens of every row of ``docs`` (doc_id, text)."""
     prepare(docs.sparkSession)
     made = stored(blocks(docs, path, block_chars), "pre-tokens")
-    words = made.filter("kind = 'word'").select("block", "spot", "word")
+    words = made.filter("kind = 'word' and word is not null").select("block", "spot", "word").repartition("word")
     counted = words.join(piece_counts(words, path), "word").select(F.col("block").alias("of_block"), "spot", "pieces")
     held = made.filter("kind = 'doc'").select("block", "doc_id", "n_bytes", "n_special", "spots", "counts")
     summed = held.groupBy("block").cogroup(counted.groupBy("of_block")).applyInPandas(sums, "doc_id string, n_bytes bigint, n_tokens bigint")
