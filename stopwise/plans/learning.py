@@ -12,6 +12,7 @@ from stopwise.plans.aggregates import rounded
 from stopwise.plans.joins import NEWEST
 from stopwise.plans.nested import CHANCES, chances, raw_connections
 from stopwise.plans.registry import query
+from stopwise.session import cut_lineage
 
 
 def _located(t):
@@ -186,33 +187,37 @@ def _halves(t):
     return placed.filter("is_train"), placed.filter("not is_train")
 
 
+def _stored_models(t) -> models.Models:
+    """The 30 models of the table, grown and stored once per application and state of the input files."""
+    def grow(frame, path):
+        models.train_threshold_models(frame, COLUMNS, path=path)
+
+    path = t.stored_path("threshold_models", lambda: cut_lineage(_halves(t)[0]), grow)
+    return models.Models.load(t.spark, path)
+
+
 @query("train_threshold_models")
 def _(t):
-    train, test = _halves(t)
-    made = models.train_threshold_models(train, COLUMNS, thresholds=[0, 5], trees=3, deepest=4)
-    parts = None
-    for name, label in features.delay_labels([0, 5]).items():
-        part = models.lift_of(made[name], test.withColumn("label", label.cast("int")), COLUMNS).withColumn("model", F.lit(name))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    return models.lift_of_models(_stored_models(t), _halves(t)[1], features.delay_labels())
 
 
 @query("predict_matrix")
 def _(t):
-    train, test = _halves(t)
-    made = models.train_threshold_models(train, COLUMNS, thresholds=[0, 1], trees=2, deepest=3)
-    return models.predict_matrix(made, test, COLUMNS).select("hash_id", *[f"p_{n}" for n in made])
+    made = _stored_models(t)
+    return models.predict_matrix(made, _halves(t)[1]).select("hash_id", *[f"p_{n}" for n in made.trees])
 
 
 @query("other_classifiers")
 def _(t):
-    return models.compare_classifiers(*_halves(t), COLUMNS, trees=20, iterations=30)
+    return models.compare_classifiers(*_halves(t), COLUMNS)
+
+
+DATES = dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 28)  # six dates, four days apart
 
 
 @query("rolling_backtest")
 def _(t):
-    return models.rolling_backtest(_frame(t), COLUMNS, F.col("label"), dt.datetime(2024, 1, 12), dt.datetime(2024, 1, 16), train_days=10, test_days=7,
-                                   make=lambda: models.boosted(3, 2))
+    return models.rolling_backtest(cut_lineage(_frame(t)), COLUMNS, F.col("label"), *DATES)
 
 
 @query("kfold_cv")
@@ -224,8 +229,8 @@ def _(t):
 @query("feature_importance")
 def _(t):
     train, _test = _halves(t)
-    made = [models.fit(train, COLUMNS, c) for c in (models.boosted(3, 2), models.RandomForestClassifier(numTrees=5, seed=0))]
-    return models.feature_importance(made, COLUMNS, t.spark)
+    forest = models.fit(train, COLUMNS, models.RandomForestClassifier(numTrees=models.TREES, seed=0))
+    return models.feature_importance([_stored_models(t), forest], COLUMNS, t.spark)
 
 
 @query("permutation_importance")
@@ -242,5 +247,4 @@ def _(t):
 
 @query("grid_search")
 def _(t):
-    grid = {"trees": [2, 3], "depth": [2, 4], "gain": [0.0], "rate": [0.4]}
-    return models.grid_search(*_halves(t), COLUMNS, trials=3, grid=grid)
+    return models.grid_search(cut_lineage(_frame(t)), COLUMNS, F.col("label"), *DATES)

@@ -45,15 +45,19 @@ def in_date_range(stops: DataFrame, min_date: dt.datetime | None = None,
         for condition in keep:
             stops = stops.filter(condition)
         return stops
+    return stops.filter(date_range(min_date, max_date))
+
+
+def date_range(min_date: dt.datetime | None = None, max_date: dt.datetime | None = None) -> Column:
+    """The same range as a condition on the planned times."""
+    keep = F.lit(True)
     if min_date is not None:
         low = F.lit(min_date).cast("timestamp_ntz")
-        keep.append((F.col("ar_pt") >= low) | (F.col("dp_pt") >= low))
+        keep = keep & ((F.col("ar_pt") >= low) | (F.col("dp_pt") >= low))
     if max_date is not None:
         high = F.lit(max_date).cast("timestamp_ntz")
-        keep.append((F.col("ar_pt") < high) | (F.col("dp_pt") < high))
-    for condition in keep:
-        stops = stops.filter(condition)
-    return stops
+        keep = keep & ((F.col("ar_pt") < high) | (F.col("dp_pt") < high))
+    return keep
 
 
 def long_distance(stops: DataFrame) -> DataFrame:

@@ -33,9 +33,9 @@ class Tables:
         return self.spark.sql(render(name, "spark").replace(f"FROM {needs}", "FROM {" + needs + "}"),
                               **{needs: self.base(needs)})
 
-    def stored(self, name: str, make: Callable[[], DataFrame], write: Callable[[DataFrame, str], str] | None = None) -> DataFrame:
-        """A frame written to the shared folder once per application and state of the input files, as a feed or
-        a nightly refresh would. Spark spreads the rows over files of even size."""
+    def stored_path(self, name: str, make: Callable[[], DataFrame], write: Callable[[DataFrame, str], object] | None = None) -> str:
+        """A folder written once per application and state of the input files, as a feed or a nightly refresh would.
+        Spark spreads the rows over files of even size."""
         key = (self.spark.sparkContext.applicationId, self.folder, self.files(), name)
         if key not in _STORED:
             path = fresh_path(self.spark, name)
@@ -44,7 +44,10 @@ class Tables:
             else:
                 make().hint("rebalance").write.parquet(path)
             _STORED[key] = path
-        return self.spark.read.parquet(_STORED[key])
+        return _STORED[key]
+
+    def stored(self, name: str, make: Callable[[], DataFrame], write: Callable[[DataFrame, str], object] | None = None) -> DataFrame:
+        return self.spark.read.parquet(self.stored_path(name, make, write))
 
     def files(self) -> tuple:
         """Number, size and latest change of the input files; only the listing is read."""
