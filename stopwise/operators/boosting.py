@@ -225,7 +225,7 @@ class Boosting:
         return read
 
     def parts(self, groups: int) -> int:
-        return max(1, min(groups, 3 * self.spark.sparkContext.defaultParallelism), groups // 50)
+        return max(1, min(groups, self.spark.sparkContext.defaultParallelism), groups // 50)
 
     def sizes(self) -> dict[str, np.ndarray]:
         """G, H and rows of the root of each model."""

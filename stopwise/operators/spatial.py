@@ -60,28 +60,41 @@ def nearest_point(places: DataFrame, nodes: DataFrame, node_key: str, size: floa
         *places.columns, "nearest", "distance_m")
 
 
+def level_of(extent: Column, size: float) -> Column:
+    """The finest level whose cells, ``size`` times a power of two, are as wide as ``extent``."""
+    level = F.greatest(F.ceil(F.log2(extent / size)), F.lit(0)).cast("int")
+    return F.coalesce(level + (F.lit(size) * F.pow(F.lit(2.0), level) < extent).cast("int"), F.lit(0))  # a rounded logarithm may be one short
+
+
 def spatial_candidates(edges: DataFrame, places: DataFrame, margin_m: float = 100, size: float = 0.05) -> DataFrame:
     """Edges whose box meets the box of ``margin_m`` around a place.
 
-    ``edges`` holds edge_id, south, north, west, east; ``places`` holds place, lat,
-    lon. Both boxes are spread over the cells they touch; a pair counts only
-    in the cell of the larger of both lower corners, so it appears once.
+    ``edges`` holds edge_id, south, north, west, east; ``places`` holds place, lat, lon. A box stands on
+    the level of its size, where it touches four cells at most, however long it is. Two boxes meet on the coarser one of
+    their levels, so a box is also placed on those coarser levels that boxes of the other side stand on. A pair counts
+    only in the cell of the larger of both lower corners, so it appears once.
     """
     dlat = margin_m / METRES_PER_DEGREE
     dlon = F.lit(dlat) / F.cos(F.radians("lat"))
     boxes = places.select("place", (F.col("lat") - dlat).alias("_s"), (F.col("lat") + dlat).alias("_n"),
                           (F.col("lon") - dlon).alias("_w"), (F.col("lon") + dlon).alias("_e"))
-
-    def spread(df: DataFrame, s: str, n: str, w: str, e: str, tag: str) -> DataFrame:
-        df = df.withColumns({f"_{tag}y": cell(F.col(s), size), f"_{tag}x": cell(F.col(w), size)})
-        df = df.withColumn("_cy", F.explode(F.sequence(F.col(f"_{tag}y"), cell(F.col(n), size))))
-        return df.withColumn("_cx", F.explode(F.sequence(F.col(f"_{tag}x"), cell(F.col(e), size))))
-
-    left = spread(edges, "south", "north", "west", "east", "a")
-    right = spread(boxes, "_s", "_n", "_w", "_e", "b")
-    once = (F.col("_cy") == F.greatest("_ay", "_by")) & (F.col("_cx") == F.greatest("_ax", "_bx"))
+    left = edges.select("edge_id", "south", "north", "west", "east", level_of(F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west")), size).alias("_la"))
+    right = boxes.withColumn("_lb", level_of(F.greatest(F.col("_n") - F.col("_s"), F.col("_e") - F.col("_w")), size))
+    levels = lambda df, level: sorted(r[0] for r in df.select(level).distinct().collect())  # about log2(360 / size) numbers
+
+    def spread(df: DataFrame, s: str, n: str, w: str, e: str, own: str, others: list[int], tag: str) -> DataFrame:
+        up = F.filter(F.array(*[F.lit(k) for k in others]).cast("array<int>"), lambda k: k > F.col(own))
+        df = df.withColumn("_level", F.explode(F.concat(F.array(own), up)))
+        at = lambda value: F.floor(F.col(value) / (F.lit(size) * F.pow(F.lit(2.0), F.col("_level")))).cast("bigint")
+        df = df.withColumns({f"_{tag}y": at(s), f"_{tag}x": at(w)})
+        df = df.withColumn("_cy", F.explode(F.sequence(F.col(f"_{tag}y"), at(n))))
+        return df.withColumn("_cx", F.explode(F.sequence(F.col(f"_{tag}x"), at(e))))
+
+    a = spread(left, "south", "north", "west", "east", "_la", levels(right, "_lb"), "a")
+    b = spread(right, "_s", "_n", "_w", "_e", "_lb", levels(left, "_la"), "b")
+    once = (F.col("_level") == F.greatest("_la", "_lb")) & (F.col("_cy") == F.greatest("_ay", "_by")) & (F.col("_cx") == F.greatest("_ax", "_bx"))
     meet = (F.col("south") <= F.col("_n")) & (F.col("_s") <= F.col("north")) & (F.col("west") <= F.col("_e")) & (F.col("_w") <= F.col("east"))
-    return left.join(right, ["_cy", "_cx"]).filter(once & meet).select("edge_id", "place")
+    return a.join(b, ["_level", "_cy", "_cx"]).filter(once & meet).select("edge_id", "place")
 
 
 def radius_mean(queries: DataFrame, known: DataFrame, axes: list[str], radius: float, value: str, key: str) -> DataFrame:

@@ -18,24 +18,33 @@ def _stored(t, df, name: str, files: int = 4) -> str:
     return path
 
 
+NOON, LATER = dt.datetime(2024, 2, 1, 12), dt.datetime(2024, 2, 1, 12, 10)
+
+
 def _key_feed(t) -> str:
+    """Two publications, the first one sent twice."""
     path = fresh_path(t.spark, "keys")
-    feeds.publish_keys(t.stops.filter("hash_id % 2 = 0"), path)
-    feeds.publish_keys(t.stops.filter("hash_id % 3 = 0"), path)
+    for keys, at in (("hash_id % 2 = 0", NOON), ("hash_id % 2 = 0", NOON), ("hash_id % 3 = 0", LATER)):
+        feeds.publish_keys(t.stops.filter(keys), path, at)
     return path
 
 
+def _by_key(t, name: str, make) -> feeds.KeyBuckets:
+    path = t.stored_path(name, make, lambda rows, path: feeds.KeyBuckets(t.spark, path, "hash_id").append(rows))
+    return feeds.KeyBuckets(t.spark, path, "hash_id")
+
+
 @query("publish_changed_keys", "SELECT hash_id FROM stops WHERE hash_id % 2 = 0 UNION ALL SELECT hash_id FROM stops WHERE hash_id % 3 = 0", views="stops")
 def _(t):
-    return t.spark.read.parquet(_key_feed(t))
+    return t.spark.read.parquet(_key_feed(t)).distinct().select("hash_id")
 
 
 @query("consume_since_offset", "SELECT hash_id FROM stops WHERE hash_id % 2 = 0 OR hash_id % 3 = 0", views="stops")
 def _(t):
-    feed = feeds.read_feed(t.spark, _key_feed(t), "hash_id bigint")
+    feed = feeds.once(feeds.read_feed(t.spark, _key_feed(t), feeds.KEY_FEED), ["hash_id"])
     target = fresh_path(t.spark, "consumed")
-    feeds.start_upserts(feed, ["hash_id"], [F.col("hash_id")], target, fresh_path(t.spark, "offsets")).awaitTermination()
-    return feeds.latest_rows(t.spark, target, ["hash_id"])
+    feeds.start_upserts(feed, ["hash_id"], [F.col("at")], target, fresh_path(t.spark, "offsets")).awaitTermination()
+    return feeds.current_rows(t.spark, target, ["hash_id"]).select("hash_id")
 
 
 PARSED = """
@@ -47,18 +56,18 @@ SELECT hash_id, station, ar_ct, dp_ct, CASE WHEN b >= -1 THEN a ELSE 0 END AS ar
 
 @query("continuous_parse", PARSED, views="stops")
 def _(t):
-    plan, change = raw_plan(t), raw_change(t)
-    keys = feeds.read_feed(t.spark, _key_feed(t), "hash_id bigint", files_per_batch=4)
+    plan, change = _by_key(t, "plan_by_key", lambda: raw_plan(t)), _by_key(t, "change_by_key", lambda: raw_change(t))
+    keys = feeds.read_feed(t.spark, _key_feed(t), feeds.KEY_FEED, files_per_batch=4)
     target = fresh_path(t.spark, "parsed")
     feeds.continuous_parse(keys, plan, change, target, fresh_path(t.spark, "offsets"), seconds=None).awaitTermination()
-    return feeds.latest_rows(t.spark, target, ["hash_id"]).select("hash_id", "station", "ar_ct", "dp_ct", "ar_delay", "dp_delay")
+    return feeds.current_rows(t.spark, target, ["hash_id"]).select("hash_id", "station", "ar_ct", "dp_ct", "ar_delay", "dp_delay")
 
 
 def _upserted(t, rows, schema, keys, order, files_per_batch=None):
     feed = feeds.read_feed(t.spark, _stored(t, rows, "feed"), schema, files_per_batch)
     target = fresh_path(t.spark, "upserted")
     feeds.start_upserts(feed, keys, order, target, fresh_path(t.spark, "offsets")).awaitTermination()
-    return feeds.latest_rows(t.spark, target, keys)
+    return feeds.current_rows(t.spark, target, keys)
 
 
 @query("change_feed", "SELECT user_id, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY user_id")

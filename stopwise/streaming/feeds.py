@@ -1,23 +1,28 @@
 """Change feeds with Structured Streaming.
 
 Sources are file drops (or any stream with the same columns); offsets live in the
-checkpoint. Keyed results are a log of batches: each micro-batch writes its own
-folder ``batch_id=N``, so a replayed batch replaces itself and nothing else is
-rewritten. Readers take the newest batch per key; ``compact`` folds the log now and then.
+checkpoint. Keyed results are a log of batches (``BatchLog``): a replayed batch replaces
+itself, and readers take the newest batch per key of a few merged folders. Messages that a
+publisher sent twice are dropped by keyed state that forgets after a watermark.
+Tables that a stream looks keys up in are stored by key bucket, so a
+micro-batch opens only the folders of its keys.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stopwise.operators import clean
 from stopwise.operators.dedup import last_per_key
 from stopwise.session import fresh_path
+from stopwise.streaming.log import BatchLog
 
 
 def read_feed(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None, fmt: str = "parquet") -> DataFrame:
@@ -27,29 +32,64 @@ def read_feed(spark: SparkSession, path: str, schema: str, files_per_batch: int
     return reader.load(path)
 
 
-def publish_keys(keys: DataFrame, path: str) -> str:
-    """Append changed keys to a feed folder."""
-    keys.select("hash_id").write.mode("append").parquet(path)
+KEY_FEED = "hash_id bigint, at timestamp"
+
+
+def publish_keys(keys: DataFrame, path: str, at: dt.datetime | None = None) -> str:
+    """Append changed keys to a feed folder, with the time of their publication; a retry passes the same time."""
+    told = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
+    keys.select("hash_id", told.alias("at")).write.mode("append").parquet(path)
     return path
 
 
+def once(feed: DataFrame, keys: list[str], time: str = "at", late: str = "1 hour") -> DataFrame:
+    """A stream without the messages that came before; state is kept for ``late`` behind the newest time."""
+    return feed.withWatermark(time, late).dropDuplicatesWithinWatermark([*keys, time])
+
+
 def write_batch(rows: DataFrame, batch_id: int, path: str) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Current rows of a batch log: the newest batch wins per key."""
+    """Current rows of a plain log of ``batch_id`` folders: the newest batch wins per key."""
     log = spark.read.parquet(path)
     return last_per_key(log, keys, [F.col("batch_id")]).drop("batch_id")
 
 
 def compact(spark: SparkSession, path: str, keys: list[str]) -> str:
-    """The current rows as the first batch of a new log."""
+    """The current rows as the first batch of a new plain log."""
     target = fresh_path(spark, "log")
     write_batch(latest_rows(spark, path, keys), 0, target)
     return target
 
 
+def current_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Current rows of what ``start_upserts`` has written."""
+    return BatchLog(spark, path, keys).rows()
+
+
+class KeyBuckets:
+    """A table in folders by bucket of its key: rows of a few keys are found in the folders of their buckets."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 64):
+        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def append(self, rows: DataFrame) -> KeyBuckets:
+        rows.withColumn("bucket", self.bucket()).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(self.path)
+        return self
+
+    def rows(self, keys: DataFrame) -> DataFrame:
+        """Rows of the keys in ``keys``, as the table is now; folders of other buckets are not listed in the plan."""
+        wanted = keys.select(self.key, self.bucket().alias("bucket")).distinct()
+        numbers = sorted(r.bucket for r in wanted.select("bucket").distinct().collect())  # at most ``buckets`` numbers
+        stored = self.spark.read.parquet(self.path).filter(F.col("bucket").isin(numbers))
+        return stored.join(wanted, ["bucket", self.key], "left_semi").drop("bucket")
+
+
 def start_upserts(feed: DataFrame, keys: list[str], order: list[Column], target: str, checkpoint: str,
                   transform: Callable[[DataFrame], DataFrame] | None = None, seconds: int | None = None) -> StreamingQuery:
     """Stream ``feed`` into a batch log; within a batch the greatest ``order`` wins per key.
@@ -58,28 +98,28 @@ def start_upserts(feed: DataFrame, keys: list[str], order: list[Column], target:
     the query handles what is there and ends, else it runs on at that interval.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():  # a batch that only moves the watermark
+            return
         rows = last_per_key(batch, keys, order)
-        write_batch(transform(rows) if transform else rows, batch_id, target)
+        BatchLog(batch.sparkSession, target, keys).write(transform(rows) if transform else rows, batch_id)
 
     writer = feed.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)
     return writer.start()
 
 
-def parse_changed_keys(plan: DataFrame, change: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Transform for a feed of keys: join plan and change, parse, and add delays."""
+def parse_changed_keys(plan: KeyBuckets, change: KeyBuckets) -> Callable[[DataFrame], DataFrame]:
+    """Transform for a feed of keys: plan and change of the keys as they are now, parsed, with delays."""
     def transform(keys: DataFrame) -> DataFrame:
-        wanted = keys.select("hash_id").distinct()
-        stops = clean.parse_stops(plan.join(wanted, "hash_id", "left_semi"), change.join(wanted, "hash_id", "left_semi"))
-        return clean.add_delays(stops)
+        return clean.add_delays(clean.parse_stops(plan.rows(keys), change.rows(keys)))
 
     return transform
 
 
-def continuous_parse(keys: DataFrame, plan: DataFrame, change: DataFrame, target: str, checkpoint: str,
-                     seconds: int | None = 60) -> StreamingQuery:
-    """Parse changed stops as their keys arrive; reading keys again does no harm."""
-    return start_upserts(keys, ["hash_id"], [F.col("hash_id")], target, checkpoint, parse_changed_keys(plan, change), seconds)
+def continuous_parse(keys: DataFrame, plan: KeyBuckets, change: KeyBuckets, target: str, checkpoint: str,
+                     seconds: int | None = 60, late: str = "1 hour") -> StreamingQuery:
+    """Parse changed stops as their keys arrive; a message sent twice is parsed once, a later change of a key again."""
+    return start_upserts(once(keys, ["hash_id"], late=late), ["hash_id"], [F.col("at")], target, checkpoint, parse_changed_keys(plan, change), seconds)
 
 
 def hourly_counts(rows: DataFrame, time: str = "ts", late: str | None = None) -> DataFrame:
@@ -109,3 +149,43 @@ def freshness_alert(counts: DataFrame, threshold: int, what: str, as_of: dt.date
     text = F.format_string(f"%d {what} in the hour from %s, expected at least {threshold}", F.col("n"),
                            F.date_format("hour", "yyyy-MM-dd HH:mm"))
     return counts.filter(F.col("n") < threshold).select("hour", "n", text.alias("alert"))
+
+
+SILENCE = "feed string, period timestamp_ntz, n bigint"
+
+
+def silence_alerts(feed: DataFrame, threshold: int, period: dt.timedelta, name: str = "feed", time: str = "ts") -> DataFrame:
+    """Stream of periods with fewer than ``threshold`` rows, also of those in which no row came at all.
+
+    State is one open period and its count per feed. A row of a later period closes the open one and reports the silent ones between.
+    When no row comes for a period, a timer of the state store closes the open one by the clock, again and
+    again until a row comes; a row of a period already closed is late and changes nothing.
+    """
+    seconds = int(period.total_seconds())
+
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+
+        def close(number: int, rows: int) -> None:
+            if rows < threshold:
+                out.append((key[0], pd.Timestamp(number * seconds, unit="s"), rows))
+
+        if state.hasTimedOut:
+            number, rows = state.get
+            close(number, rows)
+            number, rows = number + 1, 0
+        else:
+            counts = pd.concat(list(batches)).groupby("period").size()
+            number, rows = state.get if state.exists else (int(counts.index.min()), 0)
+            for found, n in counts.sort_index().items():
+                while number < found:
+                    close(number, rows)
+                    number, rows = number + 1, 0
+                rows += int(n) if found == number else 0
+        state.update((number, rows))
+        state.setTimeoutDuration(1000 * seconds)
+        yield pd.DataFrame(out, columns=["feed", "period", "n"])
+
+    number = F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / seconds).cast("bigint")
+    rows = feed.select(F.col(name).cast("string").alias("feed"), number.alias("period"))
+    return rows.groupBy("feed").applyInPandasWithState(watch, SILENCE, "number bigint, rows bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
