@@ -41,40 +41,94 @@ def unordered(pairs: DataFrame, source: str = "source", target: str = "target")
         "u is not null and v is not null").distinct()
 
 
+ROUNDS_PER_FOLD = 16
+
+
 def shortest_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Length and edge ids of the shortest path for each distinct (source, target).
 
-    All sources advance together. Each round extends only the nodes that came closer in
-    the round before and keeps the best way per (source, node). Nodes further away than the
-    furthest target of their source, once all its targets are reached, go no further; it ends when
-    nothing improves. Lengths must not be negative. Equal lengths are decided by fewer edges, then by the edge ids.
+    All sources advance together. A round writes only the nodes that came closer in it, with pointers to the nodes and edges
+    they came by; what was known before is read, never written again. Nodes further away than the furthest target of
+    their source, once all its targets are reached, go no further; it ends when nothing improves. Then the pointers are
+    followed back from the targets, through each round's rows once, and paths are put together for the wanted pairs alone.
+    Lengths must not be negative. Equal lengths are decided by fewer edges, then by the edge ids.
     Unreachable pairs and unknown names get nulls.
     """
     arcs = cut_lineage(both_ways(edges).filter("a <> b"))
-    pairs = pairs.select("source", "target").filter("source is not null and target is not null").distinct()
+    pairs = cut_lineage(pairs.select("source", "target").filter("source is not null and target is not null").distinct())
+    rounds = closer_rounds(pairs, arcs)
+    ends = cut_lineage(pairs.join(union_of(rounds).withColumnRenamed("node", "target"), ["source", "target"]).groupBy("source", "target").agg(
+        F.min(F.struct("d", "hops")).alias("end")))
+    paths = paths_back(ends, rounds)
+    found = ends.join(paths, ["source", "target"], "left").select(
+        "source", "target", F.col("end.d").alias("distance"), F.coalesce("path", F.array().cast("array<bigint>")).alias("path"))
+    return pairs.join(found, ["source", "target"], "left")
+
+
+def union_of(frames: list[DataFrame]) -> DataFrame:
+    whole = frames[0]
+    for frame in frames[1:]:
+        whole = whole.unionByName(frame)
+    return whole
+
+
+def closer_rounds(pairs: DataFrame, arcs: DataFrame) -> list[DataFrame]:
+    """Per round the (source, node, d, hops) that came closer in it, with ``back``: edge and node of every equally good way there.
+
+    A row of round r has r hops, so all its equally good ways arrive in that round.
+    """
     known = arcs.select(F.col("a").alias("source")).distinct()
     start = pairs.select("source").distinct().join(known, "source", "left_semi")
-    way = F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("hops"), F.array().cast("array<bigint>").alias("path"))
-    state = cut_lineage(start.select("source", F.col("source").alias("node"), way.alias("way"), F.lit(True).alias("new")))
+    nothing = F.array().cast("array<struct<edge:bigint,node:string>>")
+    rounds = [cut_lineage(start.select("source", F.col("source").alias("node"), F.lit(0.0).alias("d"), F.lit(0).alias("hops"), nothing.alias("back")))]
+    best, reached, late = rounds[0].drop("back"), [], []
     while True:
-        step = _within_reach(state, pairs).join(arcs, F.col("node") == F.col("a")).select(
-            "source", F.col("b").alias("node"), F.struct(
-                (F.col("way.d") + F.col("length")).alias("d"), (F.col("way.hops") + 1).alias("hops"),
-                F.concat("way.path", F.array(F.col("edge_id").cast("bigint"))).alias("path")).alias("way"))
-        offers = state.select("source", "node", "way", F.col("way").alias("old")).unionByName(step, allowMissingColumns=True)
-        best = offers.groupBy("source", "node").agg(F.min("way").alias("way"), F.min("old").alias("old"))
-        state = cut_lineage(best.select("source", "node", "way", (F.col("old").isNull() | (F.col("way") < F.col("old"))).alias("new")))
-        if _within_reach(state, pairs).isEmpty():
-            break
-    ends = state.select("source", F.col("node").alias("target"), F.col("way.d").alias("distance"), F.col("way.path").alias("path"))
-    return pairs.join(ends, ["source", "target"], "left")
-
-
-def _within_reach(state: DataFrame, pairs: DataFrame) -> DataFrame:
-    """New nodes of the state that can still be on a best way to a target of their source."""
-    reached = state.select("source", F.col("node").alias("target"), F.col("way.d").alias("_d"))
-    furthest = pairs.join(reached, ["source", "target"], "left").groupBy("source").agg(F.max(F.coalesce("_d", F.lit(float("inf")))).alias("_furthest"))
-    return state.filter("new").join(furthest, "source").filter(F.col("way.d") <= F.col("_furthest")).drop("_furthest")
+        newest = rounds[-1]
+        reached.append(pairs.join(newest.select("source", F.col("node").alias("target"), "d"), ["source", "target"]))
+        furthest = pairs.join(union_of(reached).groupBy("source", "target").agg(F.min("d").alias("_d")), ["source", "target"], "left").groupBy("source").agg(
+            F.max(F.coalesce("_d", F.lit(float("inf")))).alias("_furthest"))
+        going = newest.join(furthest, "source").filter("d <= _furthest")
+        offers = going.join(arcs, F.col("node") == F.col("a")).select(
+            "source", F.col("b").alias("node"), (F.col("d") + F.col("length")).alias("d"), (F.col("hops") + 1).alias("hops"),
+            F.struct(F.col("edge_id").cast("bigint").alias("edge"), F.col("a").alias("node")).alias("way"))
+        ways = offers.groupBy("source", "node").agg(F.min("d").alias("d"), F.min("hops").alias("hops"), F.collect_list(F.struct("d", "way")).alias("_ways"))
+        told = ways.select("source", "node", "d", "hops", F.transform(F.filter("_ways", lambda w: w["d"] == F.col("d")), lambda w: w["way"]).alias("back"))
+        before = union_of([best, *late]).select(F.col("source").alias("_source"), F.col("node").alias("_node"), F.col("d").alias("_d"))
+        no_closer = (F.col("source") == F.col("_source")) & (F.col("node") == F.col("_node")) & (F.col("_d") <= F.col("d"))
+        closer = cut_lineage(told.join(before, no_closer, "left_anti"))  # known ways of the same length have fewer edges
+        if closer.isEmpty():
+            return rounds
+        rounds.append(closer)
+        late.append(closer.drop("back"))
+        if len(late) == ROUNDS_PER_FOLD:  # the plan stays short
+            best = cut_lineage(union_of([best, *late]).groupBy("source", "node").agg(F.min(F.struct("d", "hops")).alias("m")).select("source", "node", "m.*"))
+            reached, late = [cut_lineage(union_of(reached).groupBy("source", "target").agg(F.min("d").alias("d")))], []
+
+
+def paths_back(ends: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """Edge ids from source to target, for ends with at least one edge.
+
+    The rows of round r join those of round r - 1 only. All equally good ways back are followed; the first one
+    by edge ids is picked going forward again, inside the row of a pair.
+    """
+    legs, at = [], None
+    for hops in range(len(rounds) - 1, 0, -1):
+        here = ends.filter(F.col("end.hops") == hops).select("source", "target", F.col("target").alias("node"))
+        at = here if at is None else at.unionByName(here).distinct()
+        leg = cut_lineage(at.join(rounds[hops].select("source", "node", "back"), ["source", "node"]).select(
+            "source", "target", F.lit(hops).alias("hops"), "node", F.explode("back").alias("way")))
+        legs.append(leg)
+        at = leg.select("source", "target", F.col("way.node").alias("node")).distinct()
+    if not legs:
+        return ends.select("source", "target", F.array().cast("array<bigint>").alias("path")).limit(0)
+    steps = F.sort_array(F.collect_list(F.struct("hops", F.col("way.edge").alias("edge"), F.col("way.node").alias("a"), F.col("node").alias("b"))))
+    start = F.struct(F.col("source").alias("at"), F.array().cast("array<bigint>").alias("path"))
+
+    def go(done, step):
+        onward = (step["hops"] == F.size(done["path"]) + 1) & (step["a"] == done["at"])
+        return F.when(onward, F.struct(step["b"].alias("at"), F.concat(done["path"], F.array(step["edge"])).alias("path"))).otherwise(done)
+
+    return union_of(legs).groupBy("source", "target").agg(steps.alias("steps")).select("source", "target", F.aggregate("steps", start, go)["path"].alias("path"))
 
 
 def refresh_path_cache(cache: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFrame:

@@ -66,7 +66,9 @@ refreshed AS (SELECT * FROM old WHERE hash_id NOT IN (SELECT hash_id FROM fresh)
 @query("incremental_refresh", REFRESH_SQL + "SELECT * FROM refreshed", views="stops")
 def _(t):
     old, source = _old_and_source(t)
-    return upsert.incremental_refresh(old, source, ["hash_id"])
+    path = files.write_by_date(old, fresh_path(t.spark, "by_date"))
+    upsert.refresh_by_date(t.spark, path, source, ["hash_id"])
+    return t.spark.read.parquet(path).select(*old.columns)
 
 
 @query("row_progress", REFRESH_SQL + """

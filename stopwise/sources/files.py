@@ -29,6 +29,17 @@ def write_by_date(stops: DataFrame, path: str) -> str:
     return path
 
 
+def date_folder(last: dt.date | None, first: dt.date | None) -> str:
+    name = lambda day: "__HIVE_DEFAULT_PARTITION__" if day is None else day.isoformat()
+    return f"last_date={name(last)}/first_date={name(first)}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Through the file system of the path, which need not be a local one."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def in_date_range(stops: DataFrame, min_date: dt.datetime | None = None,
                   max_date: dt.datetime | None = None) -> DataFrame:
     """Arrival or departure on or after ``min_date``, and arrival or departure before ``max_date``.
