@@ -43,8 +43,9 @@ def main() -> None:
     spark.read.parquet(f"{folder}/events.parquet").count()  # start the engine before the clock
     tables = Tables(spark, folder)
     start = time.perf_counter()
-    # the stop-event table, its refreshed form and the raw feeds are stored once, like the nightly refresh does; the value counts it
-    for feed in (lambda t: t.stops, lambda t: t.delayed, raw_plan, raw_change, raw_connections):
+    # the stop-event table, its copy by date, its refreshed form, the edge table and the raw feeds are stored once, like the nightly
+    # refresh does; the value counts it
+    for feed in (lambda t: t.stops, lambda t: t.stops_by_date, lambda t: t.delayed, lambda t: t.edge_table, raw_plan, raw_change, raw_connections):
         feed(tables).count()
     prepare = round(time.perf_counter() - start, 3)
     seconds: dict[str, float] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopwise.operators.dedup import last_per_key
-from stopwise.session import cut_lineage, fresh_path
+from stopwise.session import cut_lineage
 from stopwise.sources.files import DATE_LAYOUT, date_folder, remove_folder, with_dates
 
 
@@ -68,9 +68,9 @@ def incremental_refresh(old: DataFrame, source: DataFrame, keys: list[str],
 def refresh_by_date(spark: SparkSession, path: str, source: DataFrame, keys: list[str], overlap: dt.timedelta = dt.timedelta(days=2)) -> list[tuple]:
     """The same refresh on a table stored in date folders at ``path``; files of folders it does not touch stay as they are.
 
-    Touched are the folders of the fresh rows, and those that hold an older version of one of them. They are put together beside the
-    table first and then take the place of the old ones in one job, which leaves the table unchanged if it fails;
-    a folder that lost all its rows goes after that. Gives the touched (last_date, first_date).
+    Touched are the folders of the fresh rows, and those that hold an older version of one of them. One job writes them anew
+    beside the table, and its commit puts them in the place of the old ones, so a job that fails leaves the table as it
+    was; a folder that lost all its rows goes after that. Gives the touched (last_date, first_date).
     """
     old = spark.read.schema(with_dates(source).schema).parquet(path)  # the folders of an empty table say nothing of types
     mark = high_water_mark(old)
@@ -80,19 +80,24 @@ def refresh_by_date(spark: SparkSession, path: str, source: DataFrame, keys: lis
         fresh = source.filter((F.col("ar_pt") > low) | (F.col("dp_pt") > low))
     fresh = cut_lineage(with_dates(fresh))
     replaced = old.select(*keys, *DATE_LAYOUT).join(fresh.select(*keys), keys, "left_semi")
-    folders = cut_lineage(fresh.select(*DATE_LAYOUT).unionByName(replaced.select(*DATE_LAYOUT)).distinct())
-    touched = [tuple(r) for r in folders.collect()]  # one row per pair of days
-    inside = F.lit(False)
-    for last, first in touched:
-        inside = inside | (F.col("last_date").eqNullSafe(F.lit(last)) & F.col("first_date").eqNullSafe(F.lit(first)))
-    days = [F.col("last_date").isin([last for last, _ in touched if last]) | F.col("last_date").isNull()]  # opens these folders only
-    kept = old.filter(days[0]).filter(inside).join(fresh.select(*keys), keys, "left_anti")
-    staged = fresh_path(spark, "refreshed")
-    kept.unionByName(fresh.select(*old.columns)).hint("rebalance", *DATE_LAYOUT).write.partitionBy(*DATE_LAYOUT).parquet(staged)
-    new = spark.read.schema(old.schema).parquet(staged)
-    new.hint("rebalance", *DATE_LAYOUT).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*DATE_LAYOUT).parquet(path)
-    filled = {tuple(r) for r in new.select(*DATE_LAYOUT).distinct().collect()}
-    for last, first in set(touched) - filled:
+    folders = lambda rows: {tuple(r) for r in rows.select(*DATE_LAYOUT).distinct().collect()}  # one row per pair of days
+    filled = folders(fresh)
+    touched = sorted(filled | folders(replaced), key=str)
+
+    def inside(days: list[tuple]) -> Column:
+        found = F.lit(False)
+        for last, first in days:
+            found = found | (F.col("last_date").eqNullSafe(F.lit(last)) & F.col("first_date").eqNullSafe(F.lit(first)))
+        return found
+
+    days = F.col("last_date").isin([last for last, _ in touched if last]) | F.col("last_date").isNull()  # opens these folders only
+    kept = old.filter(days).filter(inside(touched)).join(fresh.select(*keys), keys, "left_anti")
+    emptied = set(touched) - filled
+    if emptied:
+        emptied -= folders(kept.filter(inside(list(emptied))))
+    kept.unionByName(fresh.select(*old.columns)).hint("rebalance", *DATE_LAYOUT).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(*DATE_LAYOUT).parquet(path)
+    for last, first in emptied:
         remove_folder(spark, f"{path}/{date_folder(last, first)}")
     spark.catalog.refreshByPath(path)
     return touched

@@ -34,7 +34,7 @@ def _(t):
 
 
 def _numbered(t):
-    return graph.build_edge_table(t.edges)
+    return t.edge_table
 
 
 PAIRS = "SELECT DISTINCT 'S' || CAST(l_suppkey AS VARCHAR) AS source, 'S' || CAST(l_partkey % 130 AS VARCHAR) AS target FROM lineitem"

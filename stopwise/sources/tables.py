@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopwise.operators.clean import with_delays
+from stopwise.operators.graph import build_edge_table
 from stopwise.session import fresh_path
 from stopwise.sources.files import write_by_date
 from stopwise.sources.stand_ins import render
@@ -50,10 +51,16 @@ class Tables:
         return self.spark.read.parquet(self.stored_path(name, make, write))
 
     def files(self) -> tuple:
-        """Number, size and latest change of the input files; only the listing is read."""
+        """Number, size and latest change of the input files; the file system lists them, no job runs."""
         if self._files is None:
-            listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.folder)
-            self._files = tuple(listed.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime").cast("string")).first())
+            context = self.spark.sparkContext
+            root = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+            listed = root.getFileSystem(context._jsc.hadoopConfiguration()).listFiles(root, True)
+            number = size = changed = 0
+            while listed.hasNext():
+                file = listed.next()
+                number, size, changed = number + 1, size + file.getLen(), max(changed, file.getModificationTime())
+            self._files = number, size, changed
         return self._files
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -88,6 +95,11 @@ class Tables:
     def edges(self) -> DataFrame:
         return self.view("edges", "lineitem")
 
+    @property
+    def edge_table(self) -> DataFrame:
+        """The edges of the network with their numbers, stored once for all that ask for paths."""
+        return self.stored("edge_table", lambda: build_edge_table(self.edges))
+
     @property
     def tracks(self) -> DataFrame:
         return self.view("tracks", "customer")
