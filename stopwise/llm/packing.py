@@ -8,7 +8,7 @@ remaining capacity answers "tightest open window with room for this length", and
 history are kept as one run. Runs of placements go back to the executors as a small table, and each piece
 finds its window from its rank among the pieces of its length.
 
-Defined results: null text is empty and is one separator token; texts of any length are read whole; rows
+Defined results: null text is empty and is one separator token; the string of an added token inside a text is that token; texts of any length are read whole; rows
 that repeat are separate documents; an empty table gives no pieces.
 """
 
@@ -34,8 +34,9 @@ PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids bin
 
 
 class Encoder:
-    """Token ids of whole texts. The vocabulary file has a twin that lists the same tokens by rank and gives the
-    same ids several times faster; it reads Latin texts, for which both splitters know the same letters."""
+    """Token ids of whole texts, as the library gives them by default. The vocabulary file has a twin that lists the same tokens
+    by rank and gives the same ids several times faster; it reads Latin texts, for which both splitters know the same letters,
+    without strings of added tokens, which the library takes as single tokens."""
 
     def __init__(self, path: str):
         import base64
@@ -45,13 +46,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings inside a text are ordinary text
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.slow = re.compile("|".join([NOT_LATIN.pattern, *added]))
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.latin = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        return self.whole.encode(text, add_special_tokens=False).ids if NOT_LATIN.search(text) else self.latin.encode_ordinary(text)
+        return self.whole.encode(text, add_special_tokens=False).ids if self.slow.search(text) else self.latin.encode_ordinary(text)
 
 
 @lru_cache(maxsize=2)

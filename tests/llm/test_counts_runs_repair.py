@@ -280,3 +280,17 @@ def test_repaired_rows_have_the_legal_form(spark):
     made = repair.repaired(repair.repair(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).collect()
     assert [(r.role, r.text) for r in made if r.conv_id == 1] == [("user", "Be short."), ("assistant", "Hello."), ("user", "What?"), ("assistant", "That.")]
     assert [r.role for r in made if r.conv_id == 2] in ([], ["user", "assistant"])
+
+
+# --- 2, against the untouched tokenizer
+
+
+@pytest.mark.parametrize("text", ["x <|endoftext|> y", "<|endoftext|><|endoftext|>", "no special <|end", "日本 <|endoftext|>", "a<|endoftext|>b" * 400])
+def test_ids_are_those_of_the_untouched_tokenizer(spark, text):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    wanted = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert packing.encoder(path).encode(text) == wanted
+    pieces = packing.tokenized_pieces(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), path).orderBy("start").collect()
+    assert b"".join(bytes(p.ids) for p in pieces) == b"".join(int(i).to_bytes(4, "little") for i in [*wanted, packing.SEPARATOR])
