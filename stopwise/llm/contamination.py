@@ -62,9 +62,12 @@ def window_minima(hashes: np.ndarray, classes: list[int]) -> dict[int, np.ndarra
         blocks, k = np.minimum(blocks[:, ::2], blocks[:, 1::2]), k + 1
 
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _keyed(values: np.ndarray, which: np.ndarray, k: int) -> np.ndarray:
     """A value together with its hash function and class."""
-    return values * np.uint64(0x9E3779B97F4A7C15) + (which.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k))
+    return values * _SPREAD + (which.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k))
 
 
 def _first_probe(keyed: np.ndarray) -> np.ndarray:
@@ -111,8 +114,9 @@ def value_filter(signatures: DataFrame) -> np.ndarray:
 
 def _windows(classes: list[int], shared):
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packed = shared.value
-        is_set = lambda place: (packed[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8))) & 1
+        bits = np.unpackbits(shared.value).view(bool)
+        is_set = lambda place: bits[place.view(np.int64)]
+        salts = {k: _keyed(np.zeros(1, np.uint64), np.arange(HASHES), k)[:, None] for k in classes}
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
@@ -122,12 +126,14 @@ def _windows(classes: list[int], shared):
                     continue
                 met = set()
                 for k, minima in window_minima(hashes, classes).items():
-                    keyed = _keyed(minima, np.arange(HASHES), k).ravel()
+                    values = minima.T  # one row per hash function
+                    keyed = (values * _SPREAD + salts[k]).ravel()
                     hits = np.flatnonzero(is_set(_first_probe(keyed)))
                     if not len(hits):
                         continue
-                    hits = hits[is_set(_second_probe(keyed[hits])) > 0]
-                    met.update((k, int(h % HASHES), int(minima[h // HASHES, h % HASHES].astype(np.int64))) for h in hits)
+                    hits = hits[is_set(_second_probe(keyed[hits]))]
+                    which, window = np.divmod(hits, values.shape[1])
+                    met.update((k, i, v) for i, v in zip(which.tolist(), values[which, window].view(np.int64).tolist()))
                 if met:
                     rows.append((doc, " ".join(found), sorted(met)))
             out = pd.DataFrame(rows, columns=["doc_id", "words", "hits"])

@@ -51,7 +51,7 @@ def shingle_set(text: str) -> np.ndarray:
     found = words(text)
     if 0 < len(found) < WIDTH:
         joined = " ".join(found)
-        return mixed(np.array([WORD_HASHES[joined] ^ 0x5DEECE66D], np.uint64))
+        return mixed(np.array([int.from_bytes(WORD_HASHES[joined], "big") ^ 0x5DEECE66D], np.uint64))
     return np.unique(shingle_hashes(found))
 
 

@@ -14,10 +14,12 @@ MEMO = 500_000
 
 
 class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
+    """The eight bytes of a word's hash, kept for words that come again."""
+
+    def __missing__(self, word: str) -> bytes:
         if len(self) > MEMO:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = self[word] = xxhash.xxh64_digest(word)
         return value
 
 
@@ -39,7 +41,7 @@ def shingle_hashes(found: list[str], width: int = WIDTH) -> np.ndarray:
     """A hash per shingle in text order; none for fewer words than a shingle has."""
     if len(found) < width:
         return np.empty(0, np.uint64)
-    codes = np.fromiter(map(HASHES.__getitem__, found), np.uint64, len(found))
+    codes = np.frombuffer(b"".join(map(HASHES.__getitem__, found)), ">u8").astype(np.uint64)
     number = len(found) - width + 1
     total = codes[:number] * _MIX[0]
     for i in range(1, width):
