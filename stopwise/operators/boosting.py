@@ -31,6 +31,7 @@ LEAST_WEIGHT = 1.0  # summed hessian of a child
 SMOOTHING = 1.0  # added to the hessian of a leaf
 NODE_ROWS = 50_000
 CHUNK_ROWS = 16_384
+TASK_ROWS = 1000  # rows of the frame that make a task worth starting
 ROUNDS_PER_WRITE = 20
 BINS = 64
 
@@ -202,9 +203,12 @@ class Boosting:
                 yield chunk()
 
         numbers = [F.col(c).cast("double").alias(c) for c in columns]
-        parallel = self.spark.sparkContext.defaultParallelism
-        if frame.rdd.getNumPartitions() < parallel:
-            frame = frame.repartition(parallel)
+        number, parallel = frame.rdd.getNumPartitions(), self.spark.sparkContext.defaultParallelism
+        worth = max(1, frame.count() // TASK_ROWS)  # tasks that the rows are worth
+        if number > worth:
+            frame = frame.coalesce(worth)
+        elif number < parallel:
+            frame = frame.repartition(min(worth, parallel))
         return frame.select(*numbers, bits(labels).alias("_labels"), bits(masks).alias("_masks")).mapInPandas(cut, CHUNK + ", margins binary")
 
     def written(self, state: DataFrame) -> DataFrame:
@@ -224,8 +228,9 @@ class Boosting:
 
         return read
 
-    def parts(self, groups: int) -> int:
-        return max(1, min(groups, self.spark.sparkContext.defaultParallelism), groups // 50)
+    def parts(self, groups: int, rows: float = math.inf) -> int:
+        """Tasks for some groups, fewer where all of them have few rows."""
+        return max(1, int(min(groups, self.spark.sparkContext.defaultParallelism, rows // (10 * TASK_ROWS))), groups // 50)
 
     def sizes(self) -> dict[str, np.ndarray]:
         """G, H and rows of the root of each model."""
@@ -280,7 +285,7 @@ class Boosting:
             choose, "model string, node bigint, feature int, cut int, gain double, low array<double>, high array<double>").collect()  # one row per open node
         return {(r.model, r.node): (r.feature, r.cut, r.gain, np.array(r.low), np.array(r.high)) for r in found}
 
-    def finish(self, trees: dict[str, Tree], small: dict[str, list[tuple[int, int]]]) -> None:
+    def finish(self, trees: dict[str, Tree], small: dict[str, list[tuple[int, int]]], total: float) -> None:
         """Grow the rest of the trees below nodes of few rows, one task per node."""
         read, n_bins, features = self.views(), self.n_bins, len(self.columns)
         left = {(name, node): depth for name, nodes in small.items() for node, depth in nodes}
@@ -308,7 +313,7 @@ class Boosting:
             tree = grown(bins, g, h, left[key], *rates[key[0]], n_bins)
             return pd.DataFrame([(*key, tree.feature, tree.cut, tree.left, tree.value, tree.gain)], columns=["model", "node", *Tree.__dataclass_fields__])
 
-        sent = self.state.mapInPandas(send, "model string, node bigint, bins binary, g binary, h binary").repartition(self.parts(len(left)), "model", "node")
+        sent = self.state.mapInPandas(send, "model string, node bigint, bins binary, g binary, h binary").repartition(self.parts(len(left), total), "model", "node")
         schema = "model string, node bigint, feature array<int>, cut array<int>, left array<int>, value array<double>, gain array<double>"
         for r in sent.groupBy("model", "node").applyInPandas(grow, schema).collect():  # one tree per model, or its branches
             trees[r.model].graft(r.node, Tree(*(list(r[c]) for c in Tree.__dataclass_fields__)))
@@ -354,6 +359,7 @@ class Boosting:
                 fresh = self.sizes()
                 nodes = {s.name: [(0, fresh[s.name])] for s in wanting}
             small: dict[str, list[tuple[int, int]]] = {}
+            total = 0.0  # rows of small nodes
             deepest = max(s.depth for s in wanting)
             for s in wanting:
                 trees[s.name].value[0] = leaf(nodes[s.name][0][1], s.rate)
@@ -363,6 +369,7 @@ class Boosting:
                     few = [(node, s.depth - depth) for node, sums in nodes[s.name] if sums[2] <= self.node_rows and (s.depth > depth or depth == 0)]
                     many = [node for node, sums in nodes[s.name] if sums[2] > self.node_rows and s.depth > depth]
                     small.setdefault(s.name, []).extend(few)
+                    total += sum(sums[2] for _, sums in nodes[s.name] if sums[2] <= self.node_rows)
                     if many:
                         open_[s.name] = many
                 if not open_:
@@ -374,7 +381,7 @@ class Boosting:
                     nodes[name] += [(first, low), (first + 1, high)]
             small = {name: found for name, found in small.items() if found}
             if small:
-                self.finish(trees, small)
+                self.finish(trees, small, total)
             for name, tree in trees.items():
                 self.trees[name].append(tree)
             self.add_trees(trees)

@@ -16,7 +16,7 @@ NOON = dt.datetime(2024, 1, 1, 12)
 def test_a_long_log_is_read_from_few_files(spark, tmp_path):
     rng, want = random.Random(1), {}
     log = BatchLog(spark, f"{tmp_path}/log", ["k"], fanout=3)
-    for batch in range(20):
+    for batch in range(14):
         rows = {rng.randrange(200): batch for _ in range(12)}
         want |= rows
         log.write(spark.createDataFrame(list(rows.items()), "k int, v int").coalesce(1), batch)
@@ -28,8 +28,8 @@ def test_a_long_log_is_read_from_few_files(spark, tmp_path):
         assert len(log.files_for([k])) <= 2 * 3 < len(live) or len(live) <= 2 * 3
     log.write(spark.createDataFrame([(5000, 0)], "k int, v int"), 0)  # a replay of a merged batch
     assert log.lookup([5000]).count() == 0
-    log.write(spark.createDataFrame([(5000, 1)], "k int, v int"), 20)
-    log.write(spark.createDataFrame([(5000, 1)], "k int, v int"), 20)
+    log.write(spark.createDataFrame([(5000, 1)], "k int, v int"), 14)
+    log.write(spark.createDataFrame([(5000, 1)], "k int, v int"), 14)
     assert [r.v for r in log.lookup([5000]).collect()] == [1]
 
 
