@@ -55,7 +55,7 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     Unreachable pairs and unknown names get nulls.
     """
     arcs = cut_lineage(both_ways(edges).filter("a <> b"))
-    pairs = cut_lineage(pairs.select("source", "target").filter("source is not null and target is not null").distinct())
+    pairs = pairs.select("source", "target").filter("source is not null and target is not null").distinct()
     rounds = closer_rounds(pairs, arcs)
     ends = cut_lineage(pairs.join(union_of(rounds).withColumnRenamed("node", "target"), ["source", "target"]).groupBy("source", "target").agg(
         F.min(F.struct("d", "hops")).alias("end")))
@@ -112,7 +112,7 @@ def paths_back(ends: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     by edge ids is picked going forward again, inside the row of a pair.
     """
     legs, at = [], None
-    for hops in range(len(rounds) - 1, 0, -1):
+    for hops in range(ends.agg(F.max("end.hops")).first()[0] or 0, 0, -1):
         here = ends.filter(F.col("end.hops") == hops).select("source", "target", F.col("target").alias("node"))
         at = here if at is None else at.unionByName(here).distinct()
         leg = cut_lineage(at.join(rounds[hops].select("source", "node", "back"), ["source", "node"]).select(
