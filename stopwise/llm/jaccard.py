@@ -8,7 +8,8 @@ verified on the shingle sets.
 
 Inside a bucket of a band the members are compared with one centre, not with each other, so a bucket of any size
 proposes as many pairs as it has members. Members that the links found so far do not join are then compared with
-the rest of their bucket. Two texts that are linked, directly or through others, get one class.
+the rest of their bucket, in blocks that prune and verify in place and return links that join groups, never pairs.
+Two texts that are linked, directly or through others, get one class.
 
 Similar texts are in one class, so the links of a text are counted inside its class: the class is cut into blocks,
 every pair of blocks compares all its shingle sets in one matrix product, and only sums per text leave the task.
@@ -39,7 +40,6 @@ THRESHOLD = 0.8
 BANDS, ROWS = 28, 6  # a pair at the threshold shares a band with a chance of 0.9998
 TOLERANCE = 1e-4  # least chance of reaching the threshold that keeps a pair
 BLOCK = 256  # members compared with as many others at a time
-ROWS_TOGETHER = 2_000  # members of small buckets that one call compares
 STEP = 24  # hash values compared at a time
 CELLS = 4_000_000  # hash values held at once for one text
 MEMBERS = 1024  # texts of a class in one block when links are counted
@@ -117,12 +117,11 @@ def pruned(pairs: DataFrame, minima: DataFrame, threshold: float = THRESHOLD) ->
     return pairs.join(side("b", "right"), "b").join(side("a", "left"), "a").select("a", "b", "left", "right").mapInPandas(prune, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Pairs whose shingle sets are similar enough, and the sets (node, hashes), read from the texts of the pairs' nodes only."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = stored(needed.join(reps.select("node", "key", "doc"), "node"), "needed")
+def shingle_sets(needed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, hashes) of the needed nodes, read from their texts only."""
+    wanted = stored(needed.join(reps.select("node", "key", "doc"), "node"), "needed")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null")
-    found = texts.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("doc"))).select("node", "key", "text")  # one plan at every size
+    found = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("doc"))).select("node", "key", "text")  # one plan at every size
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -130,7 +129,11 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: floa
             same = [set_key(s) == key for s, key in zip(sets, batch["key"])]  # another row may have the doc_id
             yield pd.DataFrame({"node": batch["node"], "hashes": [s.tobytes() for s in sets]})[same]
 
-    sets = stored(found.mapInPandas(read, "node bigint, hashes binary").dropDuplicates(["node"]), "sets")
+    return stored(found.mapInPandas(read, "node bigint, hashes binary").dropDuplicates(["node"]), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs whose shingle sets are similar enough."""
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -142,12 +145,13 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: floa
             yield batch[np.array(keep, bool)][["a", "b"]]
 
     side = lambda node, name: sets.select(F.col("node").alias(node), F.col("hashes").alias(name))
-    return pairs.join(side("b", "right"), "b").join(side("a", "left"), "a").select("a", "b", "left", "right").mapInPandas(verify, "a bigint, b bigint"), sets
+    return pairs.join(side("b", "right"), "b").join(side("a", "left"), "a").select("a", "b", "left", "right").mapInPandas(verify, "a bigint, b bigint")
 
 
 def _band_rows(reps: DataFrame) -> DataFrame:
-    """(bucket, node): the bucket of each band."""
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("minima", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
+    """(bucket, node): the bucket of each band; its last five bits are the number of the band."""
+    value = lambda i: F.xxhash64(i, F.substring("minima", i * (4 * ROWS) + 1, F.lit(4 * ROWS)))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.shiftleft(value(i), 5).bitwiseOR(i))
     return reps.filter("minima is not null").select(F.explode(bands).alias("bucket"), "node")
 
 
@@ -178,45 +182,82 @@ def remaining_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "q").alias("a"), F.greatest("node", "q").alias("b")).distinct()
 
 
-def remaining_kept(members: DataFrame, groups: DataFrame, minima: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The same pairs as far as the incremental comparison keeps them; they are compared in blocks, not as rows.
+def joining(pairs: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Pairs that join groups which the pairs before them have not joined; ``labels`` has the groups of their ends."""
+    parent: dict[int, int] = {}
+
+    def top(label: int) -> int:
+        while parent.setdefault(label, label) != label:
+            parent[label] = label = parent[parent[label]]
+        return label
+
+    kept = []
+    for i in np.unique(np.sort(labels, axis=1), axis=0, return_index=True)[1]:  # one pair for every two groups
+        one, two = top(int(labels[i, 0])), top(int(labels[i, 1]))
+        if one != two:
+            parent[one] = two
+            kept.append(i)
+    return pairs[kept]
 
-    The members outside the main group and all members of a bucket are cut into blocks; a pair of blocks is
-    compared in one go, so a bucket of n members moves n rows for every BLOCK of outsiders.
+
+def remaining_links(placed: DataFrame, minima: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Verified links between the groups that meet in a bucket; ``placed`` is the result of ``apart``.
+
+    The members outside the main group and all members of a bucket are cut into blocks, and a pair of blocks is
+    one unit: hash values are compared a few at a time, what is left is verified on the sets there, and only the
+    links that join groups leave the unit. So a bucket of n members moves n rows for every block of outsiders and
+    returns fewer links than it has groups. A pair is verified in the first band that both share.
     """
-    placed = apart(members, groups)
     outside = F.col("label") != F.col("main")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = placed.groupBy("bucket").agg(blocks(F.count(F.lit(1))).alias("mbs"), blocks(F.count(F.when(outside, 1))).alias("obs")).filter("obs > 0")
-    parts = max(8, placed.count() // ROWS_TOGETHER)
+    weighed = placed.join(sets.select("node", F.length("hashes").alias("bytes")), "node")
+    blocks = lambda kind: F.greatest(F.ceil(F.count(kind) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(kind.isNotNull(), F.col("bytes"))), F.lit(0)) / BLOCK_BYTES)).cast("int")
+    sizes = stored(weighed.groupBy("bucket").agg(
+        blocks(F.lit(1)).alias("mbs"), blocks(F.when(outside, 1)).alias("obs"), F.sum("bytes").alias("bytes")).filter("obs > 0"), "bucket_sizes")
+    moved = sizes.agg(F.sum(F.col("bytes") * F.col("obs"))).first()[0] or 0
+    parts = max(8, moved // BLOCK_BYTES)
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    both = placed.join(sizes, "bucket")
+    both = placed.join(sizes.drop("bytes"), "bucket")
     left = both.filter(outside).withColumn("ob", own("obs")).withColumn("mb", every("mbs"))
     right = both.withColumn("mb", own("mbs")).withColumn("ob", every("obs"))
-    side = lambda rows: rows.join(minima, "node").select(F.pmod(F.xxhash64("bucket", "ob", "mb"), F.lit(parts)).cast("int").alias("part"), "bucket", "ob", "mb", "node", "label", "minima")
+    part = F.pmod(F.xxhash64("bucket", "ob", "mb"), F.lit(parts)).cast("int").alias("part")
+    columns = ["bucket", "ob", "mb", "node", "label"]
+    units = left.select(part, *columns, F.lit(True).alias("outside")).unionByName(right.select(part, *columns, F.lit(False).alias("outside")))
+    rows = units.join(minima.join(sets, "node"), "node").select("part", *columns, "outside", "minima", "hashes")
     fewest = least_equal(threshold)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         found = [np.empty((0, 2), np.int64)]
-        for _, unit in rows.groupby(["bucket", "ob", "mb"]):
+        for (bucket, _, _), unit in rows.groupby(["bucket", "ob", "mb"]):
             mine, theirs = unit[unit["outside"]], unit[~unit["outside"]]
             if not len(mine) or not len(theirs):
                 continue
             one, two = (np.frombuffer(b"".join(x["minima"]), "<u4").reshape(len(x), -1) for x in (mine, theirs))
-            i, j = np.nonzero(mine["label"].to_numpy()[:, None] != theirs["label"].to_numpy()[None, :])
+            labels, others = mine["label"].to_numpy(), theirs["label"].to_numpy()
+            i, j = np.nonzero(labels[:, None] != others[None, :])
             equal = np.zeros(len(i), np.int64)
             for start in range(0, one.shape[1], STEP):
                 end = min(start + STEP, one.shape[1])
                 equal = equal + (one[i, start:end] == two[j, start:end]).sum(1)
                 keep = equal >= fewest[end]
                 i, j, equal = i[keep], j[keep], equal[keep]
-            a, b = mine["node"].to_numpy()[i], theirs["node"].to_numpy()[j]
-            found.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
-        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+            if not len(i):
+                continue
+            banded = (one[i] == two[j]).reshape(len(i), BANDS, ROWS).all(2)
+            first = banded.argmax(1) == bucket & 31
+            i, j = i[first], j[first]
+            if not len(i):
+                continue
+            (us, u), (vs, v) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+            a, b = ([np.frombuffer(x, np.uint64) for x in side["hashes"].to_numpy()[k]] for side, k in ((mine, us), (theirs, vs)))
+            common = common_counts(a, b)[u, v].astype(np.int64)
+            either = np.array([len(x) for x in a])[u] + np.array([len(x) for x in b])[v] - common
+            similar = common >= threshold * either - 1e-9
+            ends = np.column_stack([mine["node"].to_numpy()[i], theirs["node"].to_numpy()[j]])[similar]
+            found.append(joining(ends, np.column_stack([labels[i], others[j]])[similar]))
+        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
 
-    rows = side(left).withColumn("outside", F.lit(True)).unionByName(side(right).withColumn("outside", F.lit(False)))
-    return rows.groupBy("part").applyInPandas(compare, "a bigint, b bigint").distinct()
+    return rows.groupBy("part").applyInPandas(compare, "a bigint, b bigint")
 
 
 def common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
@@ -292,17 +333,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
         F.min_by("key", "_row").alias("key")), "representatives")
     minima = reps.select("node", "minima")
 
-    def check(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
-        found, sets = verified(kept, reps, docs, threshold)
-        return stored(found, "links"), sets
-
     pairs, members = central_pairs(_band_rows(reps))
-    links, sets = check(stored(pruned(pairs, minima, threshold), "kept"))
+    kept = stored(pruned(pairs, minima, threshold), "kept")
+    ends = kept.select(F.explode(F.array("a", "b")).alias("node"))
+    sets = shingle_sets(ends.unionByName(members.select("node")).distinct(), reps, docs)
+    links = stored(verified(kept, sets, threshold), "links")
     groups = connected_groups(links)
-    more = stored(remaining_kept(members, groups, minima, threshold), "more_kept")
-    if not more.isEmpty():
-        found, more_sets = check(more)
-        links, sets = links.unionByName(found), sets.unionByName(more_sets.join(sets.select("node"), "node", "left_anti"))
+    placed = apart(members, groups)
+    if not placed.isEmpty():
+        links = links.unionByName(stored(remaining_links(placed, minima, sets, threshold), "more_links"))
         groups = connected_groups(links)
     labels = stored(reps.join(groups, "node", "left").select("_key", "node", F.coalesce("label", "node").alias("label")), "labels")
     return stored(grouped.drop("key", "minima").join(labels, "_key").drop("_key"), "classes"), groups, sets

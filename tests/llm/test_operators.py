@@ -436,21 +436,43 @@ def test_links_are_those_of_all_pairs(spark, docs, rows, monkeypatch, members):
     assert found == Counter((d, links.get(s, 0)) for (d, _), s in zip(made, sets))
 
 
-def test_blocks_keep_what_pairs_keep(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 7)
+@pytest.mark.parametrize("block", [7, 256])
+def test_blocks_join_what_all_pairs_join(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = np.random.default_rng(1)
-    base = [rng.integers(0, 2**32, 168, dtype=np.uint64) for _ in range(4)]
-    nodes = []
-    for i in range(60):
-        values = base[i % 4].copy()
-        values[rng.random(168) < rng.choice([0.05, 0.15, 0.5])] = i
-        nodes.append((i, values.astype("<u4").tobytes(), i % 4 if i % 3 else i))
-    minima = spark.createDataFrame([n[:2] for n in nodes], "node long, minima binary")
-    groups = spark.createDataFrame([(n[0], n[2]) for n in nodes if n[0] % 3], "node long, label long")
-    members = spark.createDataFrame([(b, n[0], 0) for b in (1, 2) for n in nodes if b == 1 or n[0] < 20], "bucket long, node long, a long")
-    pairs = lambda found: {(r.a, r.b) for r in found.collect()}
-    wanted = pairs(jaccard.pruned(jaccard.remaining_pairs(members, groups), minima))
-    assert wanted and pairs(jaccard.remaining_kept(members, groups, minima)) == wanted
+    sets = []
+    for family in range(4):
+        one = rng.integers(0, 2**63, 400, dtype=np.uint64)
+        for _ in range(20):  # a set is like the one before it, and less like those further back
+            one = one.copy()
+            one[rng.integers(0, 400, int(rng.choice([5, 25, 60])))] = rng.integers(0, 2**63, dtype=np.uint64)
+            sets.append(np.unique(one))
+    nodes = spark.createDataFrame([(i, jaccard.minhash(x).tobytes(), x.tobytes()) for i, x in enumerate(sets)], "node long, minima binary, hashes binary")
+    minima, hashes = nodes.select("node", "minima"), nodes.select("node", "hashes")
+    pairs, members = jaccard.central_pairs(jaccard._band_rows(minima))
+    central = jaccard.stored(jaccard.verified(jaccard.pruned(pairs, minima), hashes), "central")
+    placed = jaccard.apart(members, jaccard.connected_groups(central))
+    found = [(r.a, r.b) for r in jaccard.remaining_links(placed, minima, hashes).collect()]
+    fewest, values = jaccard.least_equal(), [jaccard.minhash(x) for x in sets]
+
+    def linked(i, j):
+        same = values[i] == values[j]
+        kept = all(same[:n].sum() >= fewest[n] for n in range(jaccard.STEP, len(same) + 1, jaccard.STEP))
+        common = len(np.intersect1d(sets[i], sets[j]))
+        return kept and same.reshape(jaccard.BANDS, -1).all(1).any() and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common)
+
+    def groups(links):
+        label = list(range(len(sets)))
+        for i, j in links:
+            label = [label[i] if x == label[j] else x for x in label]
+        return {frozenset(k for k, y in enumerate(label) if y == x) for x in label}
+
+    assert found and all(linked(i, j) for i, j in found)
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if linked(i, j)]
+    first = groups((r.a, r.b) for r in central.collect())
+    assert groups([*found, *((r.a, r.b) for r in central.collect())]) == groups(every) != first
+    if block == 256:
+        assert len(found) < 28 * len(first)  # links leave a block, not pairs
 
 
 def test_one_document_of_each_class_stays(docs, empty):
