@@ -1,14 +1,16 @@
 """Fuzzy removal of repeated lines, in DataFrame operations only.
 
-Lines are normalised (lower case, digits alike, no marks, single spaces) and get a 64-bit SimHash of their words.
-The hash is cut into five blocks; two lines that differ in at most three bits agree in two blocks at least, and
-lines that differ in more often do. Every pair of blocks is a bucket key. Inside a bucket lines are compared with
-one centre, and where groups stay apart with the rest of the bucket, so no bucket makes all its pairs. Pairs
-within ``BITS`` bits are verified by edit similarity of the normalised lines; linked lines form groups, and of
-every group the first occurrence (smallest doc_id, then position) stays.
+Lines are normalised (lower case, digits alike, no marks, single spaces) and get two 64-bit SimHashes, of their
+words and of their pairs of neighbouring words. The first is cut into six blocks; two lines that differ in at most
+four bits agree in two blocks at least, and most that differ in more do. Every pair of blocks is a bucket key. Inside
+a bucket lines are compared with one centre, and where groups stay apart with the rest of the bucket inside the join,
+which lets only pairs near in both SimHashes and in length out. They are verified by edit similarity of the normalised
+lines, with a small band first, as it settles most; linked lines form groups, and of every group the first occurrence
+(smallest doc_id, then position) stays.
 
 Documents are written once, bucketed by the task that read them. Counting words per line, reading single lines
-back and deleting lines then join on that bucket, so whole texts are never shuffled.
+back and deleting lines then join on that bucket, so whole texts are never shuffled. Lines are normalised and hashed
+once; what follows works on their hashes.
 
 Defined results: lines without a letter or digit are kept and take no part; null text stays null; a document may
 lose all its lines and has empty text then; a line that repeats within one document is removed there as well;
@@ -24,20 +26,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopwise.llm.common import numbered, stored, table
-from stopwise.llm.jaccard import central_pairs, remaining_pairs
+from stopwise.llm.jaccard import apart, central_pairs
 from stopwise.operators.graph import connected_groups
 from stopwise.session import fresh_path
 
 SIMILARITY = 0.8
-BITS = 12  # most different bits of a candidate pair
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and bits
+BITS = 12  # most different bits of a candidate pair in the SimHash of words
+PAIR_BITS = 18  # and in that of word pairs
+BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # first bit and bits
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„’…·•–—"
-LANES = 0x0000000100000001
+SPACES = "\t\x0b\f\r"
+CHUNK = 6  # 2^6 words are counted in lanes of eight bits, the last of which is signed
+NARROW, WIDE = 0x0101010101010101, 0x000000FF000000FF  # lanes of a chunk's sums, of a line's
 
 
-def normalised(line: Column) -> Column:
-    plain = F.translate(F.lower(line), "0123456789" + MARKS, "0" * 10)
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+def normal_words(line: Column) -> Column:
+    """Words of the normalised line: blanks at either end and between words do not count."""
+    plain = F.translate(F.lower(line), "0123456789" + SPACES + MARKS, "0" * 10 + " " * len(SPACES))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _bucketed(docs: DataFrame) -> DataFrame:
@@ -53,49 +59,79 @@ def _bucketed(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(_part, _row, doc_id, pos, norm, h1, h2) of every line that takes part."""
+    """(_part, _row, doc_id, pos, words, h1, h2) of every line."""
     lines = docs.filter("text is not null").select("_part", "_row", F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    named = lines.select("_part", "_row", "doc_id", "pos", normalised(F.col("line")).alias("norm")).filter("norm <> ''")
-    return named.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(1), "norm")})
+    named = lines.select("_part", "_row", "doc_id", "pos", normal_words(F.col("line")).alias("words"))
+    return named.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
 
 
 def _simhashes(lines: DataFrame) -> DataFrame:
-    """(_part, _row, doc_id, pos, h1, h2, size, sim): one row per line.
+    """(_part, _row, doc_id, pos, h1, h2, size, sim, pairs): one row per line that has a word.
 
-    A sum has two counters, for one bit of either half of the words' hashes; all sums stay inside the task.
+    A sum has eight counters, one per byte, for bits of the words' hashes in a chunk of a line; the sums of chunks
+    have two counters. All sums stay inside the task.
     """
-    keys, same = ["_part", "_row", "pos"], ["doc_id", "h1", "h2", "size"]
-    words = lines.withColumn("size", F.length("norm")).select(*keys, *same, F.explode(F.split("norm", " ")).alias("word"))
-    hashed = words.select(*keys, *same, F.xxhash64("word").alias("h"))
-    counted = hashed.groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in same], F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(f"shiftrightunsigned(h, {i}) & {LANES}L")).alias(f"s{i}") for i in range(32)])
-    bits = []
-    for i in range(32):
-        low, high = f"(s{i} & 4294967295L)", f"shiftrightunsigned(s{i}, 32)"
-        bits += [f"if(2 * {low} > n, {1 << i}L, 0L)", f"if(2 * {high} > n, shiftleft(1L, {i + 32}), 0L)"]
-    return counted.select(*keys, *same, F.expr(" | ".join(bits)).alias("sim"))
+    keys, same = ["_part", "_row", "pos"], ["doc_id", "h1", "h2"]
+    following = F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))
+    words = lines.select(*keys, *same, F.posexplode(F.arrays_zip(F.col("words").alias("word"), following.alias("next"))).alias("at", "w"))
+    hashed = words.select(*keys, *same, F.shiftright("at", CHUNK).alias("chunk"), F.length("w.word").alias("length"), F.xxhash64("w.word").alias("u"), F.xxhash64(F.lit(2), "w.word", "w.next").alias("v"))
+    chunks = hashed.groupBy(*keys, "chunk").agg(
+        *[F.max(c).alias(c) for c in same], F.count(F.lit(1)).alias("n"), F.sum("length").alias("size"),
+        *[F.sum(F.expr(f"shiftrightunsigned({x}, {i}) & {NARROW}L")).alias(f"{x}{i}") for x in "uv" for i in range(8)])
+    counted = chunks.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in same], F.sum("n").alias("n"), (F.sum("size") + F.sum("n") - 1).alias("size"),
+        *[F.sum(F.expr(f"shiftrightunsigned({x}{i}, {8 * k}) & {WIDE}L")).alias(f"{x}{i}_{k}") for x in "uv" for i in range(8) for k in range(4)])
+
+    def signature(x: str) -> Column:
+        bits = []
+        for i in range(8):
+            for k in range(4):
+                low, high = f"({x}{i}_{k} & 4294967295L)", f"shiftrightunsigned({x}{i}_{k}, 32)"
+                bits += [f"if(2 * {low} > n, {1 << (i + 8 * k)}L, 0L)", f"if(2 * {high} > n, shiftleft(1L, {i + 8 * k + 32}), 0L)"]
+        return F.expr(" | ".join(bits))
+
+    return counted.select(*keys, *same, "size", signature("u").alias("sim"), signature("v").alias("pairs"))
 
 
 def _bands(lines: DataFrame) -> DataFrame:
     """(bucket, node) of every pair of blocks."""
     block = lambda b: F.shiftrightunsigned("sim", b[0]).bitwiseAND(F.lit((1 << b[1]) - 1))
-    keys = [F.lit(t << 26).cast("bigint").bitwiseOR(F.shiftleft(block(a), 13)).bitwiseOR(block(b)) for t, (a, b) in enumerate(combinations(BLOCKS, 2))]
+    keys = [F.lit(t << 22).cast("bigint").bitwiseOR(F.shiftleft(block(a), 11)).bitwiseOR(block(b)) for t, (a, b) in enumerate(combinations(BLOCKS, 2))]
     return lines.select(F.explode(F.array(*keys)).alias("bucket"), F.col("_row").alias("node"))
 
 
+def _side(lines: DataFrame, node: str, n: int) -> DataFrame:
+    return lines.select(F.col("_row").alias(node), F.col("sim").alias(f"sim{n}"), F.col("pairs").alias(f"pairs{n}"), F.col("size").alias(f"size{n}"))
+
+
+def _close() -> Column:
+    """Sides 1 and 2 are near in both SimHashes and their lengths allow the similarity."""
+    bits = lambda name: F.bit_count(F.col(f"{name}1").bitwiseXOR(F.col(f"{name}2")))
+    return (bits("sim") <= BITS) & (bits("pairs") <= PAIR_BITS) & (F.least("size1", "size2") >= SIMILARITY * F.greatest("size1", "size2"))
+
+
 def _near(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pairs within ``BITS`` bits whose lengths allow the similarity."""
-    side = lambda node, n: lines.select(F.col("_row").alias(node), F.col("sim").alias(f"sim{n}"), F.col("size").alias(f"size{n}"))
-    both = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
-    close = F.bit_count(F.col("sim1").bitwiseXOR(F.col("sim2"))) <= BITS
-    return both.filter(close & (F.least("size1", "size2") >= SIMILARITY * F.greatest("size1", "size2"))).select("a", "b")
+    return pairs.join(_side(lines, "a", 1), "a").join(_side(lines, "b", 2), "b").filter(_close()).select("a", "b")
+
+
+def _near_outsiders(members: DataFrame, groups: DataFrame, lines: DataFrame) -> DataFrame:
+    """Near pairs of one bucket in different groups, apart from its largest group's inside and from its centre.
+
+    Members meet inside the join and only near ones leave it.
+    """
+    placed = apart(members, groups)
+    one = placed.filter("label <> main").join(_side(lines, "node", 1), "node")
+    two = placed.select("bucket", F.col("node").alias("other"), F.col("label").alias("label2")).join(_side(lines, "other", 2), "other")
+    once = (F.col("label2") == F.col("main")) | (F.col("node") < F.col("other"))  # outsiders meet from both sides
+    met = one.join(two.withColumnRenamed("bucket", "bucket2"), (F.col("bucket") == F.col("bucket2")) & (F.col("label") != F.col("label2")) & once & _close())
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def _similar(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs whose normalised lines have the edit similarity; only lines of pairs are read back."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct().join(lines.select("_row", "at"), "_row")
     wanted = wanted.select(F.col("_row").alias("node"), F.shiftright(F.col("at._row"), 33).cast("int").alias("_part"), F.col("at._row").alias("_row"), F.col("at.pos").alias("pos"))
-    text = normalised(F.element_at(F.split("text", "\n"), F.col("pos") + 1))
+    text = F.array_join(normal_words(F.element_at(F.split("text", "\n"), F.col("pos") + 1)), " ")
     texts = stored(docs.select("_part", "_row", "text").join(wanted, ["_part", "_row"]).select("node", text.alias("norm")), "line_texts")
     side = lambda node, n: texts.select(F.col("node").alias(node), F.col("norm").alias(f"norm{n}"))
     both = pairs.join(side("a", 1), "a").join(side("b", 2), "b").withColumn("most", F.floor((1 - SIMILARITY) * F.greatest(F.length("norm1"), F.length("norm2")) + 1e-9).cast("int"))
@@ -103,7 +139,10 @@ def _similar(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     for turn in (1, 2):
         both = both.withColumn("same", _common_start(F.col("norm1"), F.col("norm2")))
         both = both.withColumns({f"norm{n}": F.reverse(F.expr(f"substring(norm{n}, same + 1)")) for n in (1, 2)})
-    return both.filter(F.expr("levenshtein(norm1, norm2, most) >= 0")).select("a", "b")
+    # a pair is mostly settled by a narrow band, which takes less time; only what is left goes through the next one
+    short = F.greatest(F.length("norm1"), F.length("norm2")) <= F.col("most")
+    found = [F.expr(f"levenshtein(norm1, norm2, most * {part} div 8) >= 0") for part in (1, 3, 8)]
+    return both.filter(short | found[0] | found[1] | found[2]).select("a", "b")
 
 
 def _common_start(one: Column, two: Column) -> Column:
@@ -114,20 +153,22 @@ def _common_start(one: Column, two: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda p, step: F.when(agree(p, step), p + step).otherwise(p))
 
 
-def line_groups(docs: DataFrame) -> DataFrame:
-    """(h1, h2, kept): every different line of a group of two or more occurrences, and the occurrence that stays.
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """Stored (_part, _row, doc_id, pos, h1, h2, size, sim, pairs) of every line of a bucketed table of documents that has a word."""
+    return stored(_simhashes(_lines(docs)), "hashed_lines")
 
-    ``docs`` is a bucketed table of documents.
-    """
+
+def line_groups(docs: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(h1, h2, kept): every different line of a group of two or more occurrences, and the occurrence that stays."""
     occurrence = F.struct("doc_id", "_row", "pos")
-    lines = _simhashes(_lines(docs)).groupBy("h1", "h2").agg(
-        F.max("sim").alias("sim"), F.max("size").alias("size"), F.min(occurrence).alias("at"), F.count(F.lit(1)).alias("n"))
+    lines = hashed.groupBy("h1", "h2").agg(
+        *[F.max(c).alias(c) for c in ("sim", "pairs", "size")], F.min(occurrence).alias("at"), F.count(F.lit(1)).alias("n"))
     lines = numbered(lines, "lines")
-    check = lambda pairs: stored(_similar(stored(_near(pairs, lines), "near_lines"), lines, docs), "line_links")
+    check = lambda pairs: stored(_similar(stored(pairs, "near_lines"), lines, docs), "line_links")
     pairs, members = central_pairs(_bands(lines))
-    links = check(pairs)
+    links = check(_near(pairs, lines))
     groups = connected_groups(links)
-    more = stored(_near(remaining_pairs(members, groups), lines), "more_lines")
+    more = stored(_near_outsiders(members, groups, lines), "more_lines")
     if not more.isEmpty():
         links = links.unionByName(check(more))
         groups = connected_groups(links)
@@ -143,8 +184,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     carried = docs.select("doc_id", "text") if not others else docs.select(F.struct("doc_id", *others).alias("doc_id"), "text")
     whole = _bucketed(carried)
     own_id = whole if not others else whole.withColumn("doc_id", F.col("doc_id.doc_id"))
-    groups = stored(line_groups(own_id), "kept_lines")
-    gone = _lines(own_id).select("_part", "_row", "pos", "h1", "h2").join(groups, ["h1", "h2"]).filter((F.col("_row") != F.col("kept._row")) | (F.col("pos") != F.col("kept.pos")))
+    hashed = hashed_lines(own_id)
+    groups = stored(line_groups(own_id, hashed), "kept_lines")
+    gone = hashed.select("_part", "_row", "pos", "h1", "h2").join(groups, ["h1", "h2"]).filter((F.col("_row") != F.col("kept._row")) | (F.col("pos") != F.col("kept.pos")))
     gone = gone.groupBy("_part", "_row").agg(F.collect_list("pos").alias("gone"))  # at most the lines of one document
     lines = F.split("text", "\n")
     joined = whole.join(gone, ["_part", "_row"], "left")

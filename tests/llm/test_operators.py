@@ -197,8 +197,8 @@ def test_no_text_is_shuffled_for_simhashes(spark, docs):
 
 def test_line_links_have_the_edit_similarity(spark, folder):
     store = lines._bucketed(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
-    groups = lines.line_groups(store)
-    texts = lines._lines(store).select("h1", "h2", "norm").distinct().join(groups, ["h1", "h2"]).toPandas()
+    groups = lines.line_groups(store, lines.hashed_lines(store))
+    texts = lines._lines(store).select("h1", "h2", F.array_join("words", " ").alias("norm")).distinct().join(groups, ["h1", "h2"]).toPandas()
     for _, group in texts.groupby(texts["kept"].map(str)):
         names = sorted(set(group["norm"]))[:12]
         reached = {names[0]}
@@ -207,6 +207,26 @@ def test_line_links_have_the_edit_similarity(spark, folder):
         assert len(names) == 12 or reached == set(names)
 
 
+def test_most_similar_lines_are_in_one_group(spark):
+    """Recall on lines with one to five edits, all of edit similarity 0.8 or more; beyond four bits SimHash finds a pair by chance."""
+    rng = random.Random(31)
+    made, pairs = [], []
+    for n in range(240):
+        words = words_of(rng, rng.randint(20, 60)).split()
+        near = list(words)
+        for _ in range(1 + n % 5):
+            at = rng.randrange(len(near))
+            near[at:at + 1] = rng.choice(([], [words_of(rng, 1)], [near[at], words_of(rng, 1)], [near[at][:-1]]))
+        one, two = " ".join(words), " ".join(near)
+        if one != two and edit_distance(one, two) <= 0.2 * max(len(one), len(two)):
+            pairs.append((2 * n, 2 * n + 1))
+            made += [(2 * n, one), (2 * n + 1, two)]
+    found = {r.doc_id: r.n_removed for r in lines.without_repeats(spark.createDataFrame(made, "doc_id bigint, text string")).collect()}
+    assert not any(found[a] for a, _ in pairs)  # the first occurrence stays, and lines of different origin stay apart
+    caught = sum(found[b] for _, b in pairs)
+    assert len(pairs) > 200 and caught >= 0.55 * len(pairs), (caught, len(pairs))  # 145 of 240: the README names it as open
+
+
 def test_lines_need_no_rows(empty):
     assert lines.without_repeats(empty).count() == 0
 
