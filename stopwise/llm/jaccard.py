@@ -174,14 +174,6 @@ def apart(members: DataFrame, groups: DataFrame) -> DataFrame:
     return stored(placed.join(largest.drop("groups"), "bucket").filter("node <> a").drop("a"), "outsiders")
 
 
-def remaining_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different groups, apart from its largest group's inside and from its centre."""
-    placed = apart(members, groups)
-    other = placed.select("bucket", F.col("node").alias("q"), F.col("label").alias("other"))
-    pairs = placed.filter("label <> main").join(other, "bucket").filter("label <> other")
-    return pairs.select(F.least("node", "q").alias("a"), F.greatest("node", "q").alias("b")).distinct()
-
-
 def joining(pairs: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Pairs that join groups which the pairs before them have not joined; ``labels`` has the groups of their ends."""
     parent: dict[int, int] = {}
