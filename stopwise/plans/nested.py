@@ -9,6 +9,7 @@ from stopwise.functions.codes import SUPERSEDES
 from stopwise.operators import nested
 from stopwise.operators.clean import ENDS
 from stopwise.plans.registry import query
+from stopwise.session import stored
 
 
 def _paths(t):
@@ -123,8 +124,12 @@ def _(t):
 # --- connections made of orders --------------------------------------------------------
 
 
+ROUTES_PER_FILE = 20_000
+
+
 def raw_connections(t):
-    return t.stored("routes", lambda: make_connections(t))
+    """The routes as JSON, stored once. Orders are spread before they become texts, so no text is shuffled."""
+    return t.stored("routes", lambda: make_connections(t), lambda routes, path: routes.write.option("compression", "zstd").parquet(path))
 
 
 def make_connections(t):
@@ -165,7 +170,8 @@ def make_connections(t):
     route = F.struct((k % 10 != 3).alias("isRideable"), F.array(F.lit("RE"), F.lit("IC"), F.lit("RE")).alias("segmentTypes"),
                      F.when(k % 3 == 0, F.array(F.struct(F.array(F.struct((k % 500).cast("int").alias("price"))).alias("fares")))).alias("tarifSet"),
                      segments.alias("segments"))
-    return t.orders.select("o_orderkey", F.to_json(route).alias("route"))
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    return orders.repartition(orders.count() // ROUTES_PER_FILE + 1).select("o_orderkey", F.to_json(route).alias("route"))
 
 
 CONNECTIONS = """
@@ -207,7 +213,8 @@ def _(t):
 
 @query("sort_connections", CONNECTIONS + "SELECT k AS o_orderkey, dp_ct, price FROM (SELECT *, CASE WHEN k % 3 = 0 THEN CAST(k % 500 AS INT) ELSE -1 END AS price FROM local) ORDER BY price DESC, k")
 def _(t):
-    c = nested.sort_connections(nested.parse_connections(raw_connections(t)), "price", "o_orderkey", ascending=False)
+    c = nested.parse_connections(raw_connections(t)).select("o_orderkey", F.struct("summary.dp_ct", "summary.price").alias("summary"))
+    c = nested.sort_connections(stored(c, "summaries"), "price", "o_orderkey", ascending=False)  # a sort reads its input twice
     return c.select("o_orderkey", "summary.dp_ct", "summary.price")
 
 
