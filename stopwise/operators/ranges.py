@@ -45,11 +45,14 @@ def connecting_trains(stops: DataFrame, columns: list[str], least: int = 2, most
     return pairs.filter(F.col(f"ar_side_{key}") != F.col(f"dp_side_{key}"))
 
 
+WEEK = 7 * 86400  # works of up to a week have one level, so a use of an edge is one row for all of them
+
+
 def obstacles_on_edges(edge_uses: DataFrame, obstacles: DataFrame, time: str) -> DataFrame:
     """Uses of an edge at a time with the obstacles valid then (both ends inclusive)."""
     seconds = lambda c: timecols.epoch_seconds(F.col(c))
     return point_in_interval_join(obstacles, edge_uses, ["edge_id"], seconds("from_time"), seconds("to_time"),
-                                  seconds(time), width=86400)
+                                  seconds(time), width=WEEK)
 
 
 PRIORITIES = (24, 37, 63, 65, 70, 80)
