@@ -187,7 +187,7 @@ def _(t):
 @query("partitioned_write", "SELECT station, count(*) AS n, min(hash_id) AS first_id FROM stops GROUP BY station", views="stops")
 def _(t):
     path = files.write_partitioned(t.stops.select("hash_id", "station"), fresh_path(t.spark, "by-station"), "station")
-    return t.spark.read.parquet(path).groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.min("hash_id").alias("first_id"))
+    return files.read_partitioned(t.spark, path).groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.min("hash_id").alias("first_id"))
 
 
 @query("compact_write", "SELECT count(*) AS n, count(DISTINCT hash_id) AS ids FROM stops", views="stops")

@@ -472,3 +472,17 @@ def test_filters_reach_the_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(f,F)" in plan and "GreaterThanOrEqual(ar_pt" in plan
     assert "hash_id" not in plan.split("ReadSchema")[1]
+
+
+def test_folders_by_key_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(900).selectExpr("id", "CASE WHEN id % 300 > 0 THEN concat('S', id % 300) END AS station", "id % 7 AS v")
+    path = files.write_partitioned(rows, f"{tmp_path}/many", "station")
+    found = spark.read.parquet(path).withColumns({"file": F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)})
+    assert sorted(map(tuple, found.select("id", "station", "v").collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert found.select("file").distinct().count() >= 4  # few bytes, but many files
+    assert found.groupBy("station").agg(F.count_distinct("file").alias("n")).filter("n > 1").isEmpty()
+    hot = spark.range(1000).selectExpr("id", "CASE WHEN id < 3 THEN 'a' END AS station")
+    path = files.write_partitioned(hot, f"{tmp_path}/hot", "station", file_rows=100)
+    back = files.read_partitioned(spark, path)
+    assert {(r.id, r.station) for r in back.collect()} == {(i, "a" if i < 3 else None) for i in range(1000)}
+    assert back.filter("station is null").select(F.input_file_name()).distinct().count() > 1
