@@ -60,7 +60,7 @@ def _(t):
     keys = feeds.read_feed(t.spark, _key_feed(t), feeds.KEY_FEED, files_per_batch=4)
     target = fresh_path(t.spark, "parsed")
     feeds.continuous_parse(keys, plan, change, target, fresh_path(t.spark, "offsets"), seconds=None).awaitTermination()
-    return feeds.current_rows(t.spark, target, ["hash_id"]).select("hash_id", "station", "ar_ct", "dp_ct", "ar_delay", "dp_delay")
+    return feeds.current_rows(t.spark, target, ["hash_id"], ["hash_id", "station", "ar_ct", "dp_ct", "ar_delay", "dp_delay"])
 
 
 def _upserted(t, rows, schema, keys, order, files_per_batch=None):

@@ -22,7 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from stopwise.operators import clean
 from stopwise.operators.dedup import last_per_key
 from stopwise.session import fresh_path
-from stopwise.streaming.log import BatchLog
+from stopwise.streaming.log import BatchLog, dealt
 
 
 def read_feed(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None, fmt: str = "parquet") -> DataFrame:
@@ -64,9 +64,9 @@ def compact(spark: SparkSession, path: str, keys: list[str]) -> str:
     return target
 
 
-def current_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Current rows of what ``start_upserts`` has written."""
-    return BatchLog(spark, path, keys).rows()
+def current_rows(spark: SparkSession, path: str, keys: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Current rows of what ``start_upserts`` has written, or some columns of them."""
+    return BatchLog(spark, path, keys).rows(columns)
 
 
 class KeyBuckets:
@@ -83,11 +83,15 @@ class KeyBuckets:
         return self
 
     def rows(self, keys: DataFrame) -> DataFrame:
-        """Rows of the keys in ``keys``, as the table is now; folders of other buckets are not listed in the plan."""
-        wanted = keys.select(self.key, self.bucket().alias("bucket")).distinct()
-        numbers = sorted(r.bucket for r in wanted.select("bucket").distinct().collect())  # at most ``buckets`` numbers
-        stored = self.spark.read.parquet(self.path).filter(F.col("bucket").isin(numbers))
-        return stored.join(wanted, ["bucket", self.key], "left_semi").drop("bucket")
+        """Rows of the keys in ``keys``, as the table is now; folders of other buckets are not listed in the plan.
+
+        Both sides are dealt by the key alone, so that a join of two tables on it needs no other shuffle.
+        """
+        wanted = keys.select(self.key).distinct()
+        counts = {r.bucket: r["count"] for r in wanted.groupBy(self.bucket().alias("bucket")).count().collect()}  # at most ``buckets`` rows
+        stored = self.spark.read.parquet(self.path).filter(F.col("bucket").isin(sorted(counts))).drop("bucket")
+        deal = lambda rows: dealt(rows, [self.key], sum(counts.values()))
+        return deal(stored).join(deal(wanted), [self.key], "left_semi")
 
 
 def start_upserts(feed: DataFrame, keys: list[str], order: list[Column], target: str, checkpoint: str,

@@ -19,9 +19,20 @@ from pyspark.sql import functions as F
 from stopwise.operators.dedup import last_per_key
 
 FANOUT = 8
+ROWS_PER_TASK = 200_000  # of the newest rows that one task puts together
 MANIFEST = "level int, last_batch bigint, folder string, file string, low string, high string"
 
 
+def tasks_for(number: int) -> int:
+    return -(-number // ROWS_PER_TASK)
+
+
+def dealt(rows: DataFrame, keys: list[str], number: int) -> DataFrame:
+    """Rows dealt by key to more tasks than a shuffle has, if there are too many rows for these."""
+    tasks = tasks_for(number)
+    return rows.repartition(tasks, *keys) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 class BatchLog:
     """Keyed rows below ``path``. Key values are compared as text in the ranges of the manifest."""
 
@@ -76,26 +87,35 @@ class BatchLog:
         last = max(r[1] for r in full)
         folder = f"{self.path}/level={level + 1}/batch={last}"
         rows = self.newest(full)
-        parts = max(1, len({r[2] for r in full if r[3]}) ** level)
+        parts = max(1, len({r[2] for r in full if r[3]}) ** level, tasks_for(self.raw(full).count()))
         self.put(rows.repartitionByRange(parts, F.col(self.keys[0]).cast("string")).sortWithinPartitions(F.col(self.keys[0]).cast("string")), folder)
         return [r for r in live if r[0] != level] + self.described(level + 1, last, folder)
 
-    def newest(self, entries: list[tuple], only: Column | None = None) -> DataFrame:
-        """The newest row per key of the files of some entries."""
+    def raw(self, entries: list[tuple], only: Column | None = None) -> DataFrame:
+        """All rows of the files of some entries with the ``_batch`` they came in."""
         rows = None
         for batch in sorted({r[1] for r in entries}):
             files = [r[3] for r in entries if r[1] == batch and r[3]]
             part = self.spark.read.parquet(*(files or [r[2] for r in entries if r[1] == batch]))
             part = (part if only is None else part.filter(only)).withColumn("_batch", F.lit(batch))
             rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+        return rows
+
+    def newest(self, entries: list[tuple], only: Column | None = None, columns: list[str] | None = None) -> DataFrame:
+        """The newest row per key of the files of some entries; ``columns`` are the only ones read, where given."""
+        rows = self.raw(entries, only)
+        if columns:
+            rows = rows.select(*dict.fromkeys([*self.keys, *columns, "_batch"]))
+        if only is None:  # the number stands in the footers of the files
+            rows = dealt(rows, self.keys, rows.count())
         return last_per_key(rows, self.keys, [F.col("_batch")]).drop("_batch")
 
-    def rows(self) -> DataFrame:
-        """The current row of every key."""
+    def rows(self, columns: list[str] | None = None) -> DataFrame:
+        """The current row of every key, or some columns of it."""
         _, live = self.manifest()
         if not live:
             raise FileNotFoundError(f"no batch in {self.path}")
-        return self.newest([tuple(r) for r in live])
+        return self.newest([tuple(r) for r in live], columns=columns)
 
     def files_for(self, values: list) -> list[tuple]:
         wanted = [str(v) for v in values]

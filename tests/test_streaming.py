@@ -84,3 +84,20 @@ def test_an_alert_for_silence_needs_no_row(spark, tmp_path):
     first = dt.datetime.fromtimestamp((now - 6) // 2 * 2, dt.timezone.utc).replace(tzinfo=None)
     assert [(r.period - first).total_seconds() for r in rows] == [2 * (k + 1) for k in range(len(rows))]  # the first period had two rows
     assert [r.n for r in rows][:3] == [0, 0, 1] and sum(r.n == 0 for r in rows) >= 5  # periods without any row, by the clock
+
+
+def test_no_task_merges_more_rows_than_it_should(spark, tmp_path, monkeypatch):
+    from stopwise.streaming import log as module
+
+    monkeypatch.setattr(module, "ROWS_PER_TASK", 50, raising=False)
+    log = BatchLog(spark, f"{tmp_path}/log", ["k"], fanout=4)
+    for batch in range(4):
+        log.write(spark.range(batch * 90, batch * 90 + 100).selectExpr("id as k", f"{batch} as v", "'x' as w"), batch)
+    live = log.manifest()[1]
+    assert {r.level for r in live} == {1} and len(live) >= 6  # 400 rows, which one task used to sort and write
+    rows = log.rows(["v"])
+    assert rows.columns == ["k", "v"] and rows.rdd.getNumPartitions() >= 7
+    assert {(r.k, r.v) for r in rows.collect()} == {(k, min(k // 90, 3)) for k in range(370)}
+    table = feeds.KeyBuckets(spark, f"{tmp_path}/t", "k", buckets=4).append(spark.range(500).selectExpr("id as k", "id * 2 as v"))
+    found = table.rows(spark.range(300).selectExpr("id as k"))
+    assert found.rdd.getNumPartitions() == 6 and {(r.k, r.v) for r in found.collect()} == {(k, 2 * k) for k in range(300)}
