@@ -207,6 +207,23 @@ def test_line_links_have_the_edit_similarity(spark, folder):
         assert len(names) == 12 or reached == set(names)
 
 
+def test_pairs_of_lines_are_dealt_by_number_and_not_by_bytes(spark, monkeypatch):
+    tasks, write = [], lines.stored
+    monkeypatch.setattr(lines, "PAIRS_PER_TASK", 5, raising=False)
+
+    def spied(df, name):
+        if name == "line_links":
+            tasks.append(df.rdd.getNumPartitions())
+        return write(df, name)
+
+    monkeypatch.setattr(lines, "stored", spied)
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(40))
+    docs = spark.createDataFrame([(i, text + "abcdefghijklmnopqrstuvwxyz"[i]) for i in range(26)], "doc_id bigint, text string")
+    assert lines.without_repeats(docs).agg(F.sum("n_removed")).first()[0] == 25
+    assert tasks and max(tasks) >= 5  # 25 pairs with the centre, whose few bytes used to go to one task
+
+
 def test_most_similar_lines_are_in_one_group(spark):
     """Recall on lines with one to five edits, all of edit similarity 0.8 or more; beyond four bits SimHash finds a pair by chance."""
     rng = random.Random(31)
