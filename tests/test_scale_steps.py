@@ -1,9 +1,11 @@
 """Steps whose cost grew faster than their tables."""
 
+from threading import Barrier
+
 from pyspark.sql import functions as F
 
 from stopwise.functions import timecols
-from stopwise.operators import ranges
+from stopwise.operators import models, ranges
 from stopwise.plans import nested
 from stopwise.sources.tables import Tables
 
@@ -32,3 +34,13 @@ def test_works_of_a_week_are_met_by_one_row_per_use(spark, monkeypatch):
     expected = sorted((k, p) for k, e, t in uses for f, p, _, low, high in works if e == f and low <= t <= high)
     assert sorted((r.k, r.priority) for r in found.collect()) == expected
     assert widths == [7 * day]
+
+
+def test_classifiers_are_fitted_side_by_side(spark, monkeypatch):
+    both = Barrier(2, timeout=20)  # breaks when one fit waits for the other to end
+    monkeypatch.setattr(models, "classifiers", lambda *a, **k: {"one": (1.0, False), "two": (0.5, True)})
+    monkeypatch.setattr(models, "fit", lambda train, columns, classifier, scaled: both.wait() * 0 + classifier)
+    monkeypatch.setattr(models, "accuracy", lambda model, test, columns: model)
+    rows = spark.createDataFrame([(1.0, 1), (5.0, 0), (None, 0)], "x double, label int")
+    told = models.compare_classifiers(rows, rows, ["x"]).collect()
+    assert [tuple(r) for r in told[:2]] == [("one", 1.0), ("two", 0.5)] and told[2].classifier == "nearest_centroid"
