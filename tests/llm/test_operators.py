@@ -224,6 +224,36 @@ def test_pairs_of_lines_are_dealt_by_number_and_not_by_bytes(spark, monkeypatch)
     assert tasks and max(tasks) >= 5  # 25 pairs with the centre, whose few bytes used to go to one task
 
 
+def _forty_like_lines(spark):
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(40))
+    return spark.createDataFrame([(i, f"{text}{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(40)], "doc_id bigint, text string")
+
+
+def test_crowded_buckets_of_lines_give_the_same_rows(spark, monkeypatch):
+    docs = _forty_like_lines(spark)
+    whole = lines.without_repeats(docs).collect()
+    monkeypatch.setattr(lines, "FULL", 3)
+    crowded = lines._met(lines.hashed_lines(lines._bucketed(docs)).withColumn("_row", F.monotonically_increasing_id())).filter("a = b")
+    assert not crowded.isEmpty()
+    assert sorted(lines.without_repeats(docs).collect()) == sorted(whole) and sum(r.n_removed for r in whole) == 39
+
+
+def test_edit_distances_are_found_after_pairs_are_dealt(spark, monkeypatch):
+    plans, write = [], lines.stored
+
+    def spied(df, name):
+        if name == "line_links":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(lines, "stored", spied)
+    lines.without_repeats(_forty_like_lines(spark)).count()
+    for plan in plans:  # the plan reads from its end to its start
+        assert plan.rindex("levenshtein") < plan.index("RepartitionByExpression")
+    assert plans
+
+
 def test_most_similar_lines_are_in_one_group(spark):
     """Recall on lines with one to five edits, all of edit similarity 0.8 or more; beyond four bits SimHash finds a pair by chance."""
     rng = random.Random(31)
