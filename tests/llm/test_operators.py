@@ -195,6 +195,60 @@ def test_no_text_is_shuffled_for_simhashes(spark, docs):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_simhashes_are_majorities_of_bits_for_lines_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(lines, "GIANT", 4 * lines.CHUNK)  # so that lines of more than 28 words take the wide counters
+    rng = random.Random(12)
+    texts = [words_of(rng, n) for n in (1, 2, 6, 7, 8, 14, 27, 28, 29, 56, 57, 200)] + ["... !", "x " * 300, "..."]
+    store = lines._bucketed(spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(90, "\n".join(texts))], "doc_id bigint, text string"))
+    found = {(r.doc_id, r.pos): r for r in lines.hashed_lines(store).collect()}
+    hashed = lines._lines(store).select("doc_id", "pos", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("u"), F.transform(
+        "words", lambda w, i: F.xxhash64(F.lit(2), w, F.get("words", i + 1))).alias("v"))
+    rows = [r for r in hashed.collect() if r.words]
+    assert len(found) == len(rows) == 2 * 13
+    for r in rows:
+        mine = found[r.doc_id, r.pos]
+        plain = [sum((2 * sum(h >> i & 1 for h in hashes) > len(r.words)) << i for i in range(64)) for hashes in (r.u, r.v)]
+        assert [mine.sim & 2 ** 64 - 1, mine.pairs & 2 ** 64 - 1, mine.size] == [*plain, len(" ".join(r.words))]
+
+
+def test_words_of_a_line_are_made_once_and_buckets_are_shuffled_once(spark, folder):
+    store = lines._bucketed(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+    plan = lines._line_sums(lines._lines(store), "size(words) > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = lines._met(lines.hashed_lines(store).withColumn("_row", F.monotonically_increasing_id()))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "ReusedExchange" in plan
+
+
+def test_pairs_between_two_groups_are_looked_at_until_one_links_them(spark, monkeypatch):
+    docs, looked, own = _forty_like_lines(spark), [], lines._similar
+    monkeypatch.setattr(lines, "FULL", 3)
+
+    def spied(pairs, *more):
+        looked.append(pairs.count())
+        found = own(pairs, *more)
+        return found.filter("b % 2 = 0") if len(looked) == 1 else found  # so that the first look leaves lines apart
+
+    monkeypatch.setattr(lines, "_similar", spied)
+    assert sum(r.n_removed for r in lines.without_repeats(docs).collect()) == 39
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 2), (4, 9), (9, 10)], "a bigint, b bigint")
+    groups = spark.createDataFrame([(n, 1) for n in (1, 4)] + [(n, 2) for n in (2, 3)], "node bigint, label bigint")
+    assert lines._between(pairs, groups).count() == 5
+    one = [tuple(r) for r in lines._between(pairs, groups, 1).collect()]
+    assert sorted(one) == [(1, 2), (4, 9), (9, 10)] and looked[0] == 39 and sum(looked[1:]) < 39 * 40 / 4
+
+
+def test_edit_distances_count_characters_and_not_units_of_utf_16(spark):
+    made = [("a😀b😀" * 5, "a😀b" * 5, 5), ("a😀b😀" * 5, "a😀b" * 5, 4), ("aéb日" * 5, "aéb" * 5, 5), ("aéb日" * 5, "aéb" * 5, 4), ("", "ab", 1), ("", "ab", 2)]
+    frame = spark.createDataFrame(made, "norm1 string, norm2 string, most int").withColumns({f"rare{n}": F.col(f"norm{n}").rlike(lines.RARE) for n in (1, 2)})
+    found = [r[0] for r in frame.select(lines._within("most")).collect()]
+    assert found == [edit_distance(a, b) <= most for a, b, most in made]
+    assert [r.rare1 for r in frame.collect()] == [True, True, False, False, False, False]
+
+
 def test_line_links_have_the_edit_similarity(spark, folder):
     store = lines._bucketed(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
     groups = lines.line_groups(store, lines.hashed_lines(store))
